@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from clinmill.llm import nearjoin
 from clinmill.llm.components import connected
 from clinmill.llm.shingles import Folding, distinct, grams, mixed, split_words
+from clinmill.runtime import cut
 
 GRAM = 5
 #: 5-grams by which a text is looked up.
-KEPT = 12
+KEPT = 10
 #: A text of up to SHORT distinct words is looked up by single words, one of up
 #: to MIDDLE by all its 5-grams, a longer one by those with hash divisible by RATE.
-SHORT, MIDDLE, RATE = 40, 70, 4
+SHORT, MIDDLE, RATE = 40, 70, 7
 #: Texts that are worked on at a time, so that arrays stay in the caches.
 CHUNK = 512
 PREPARED = "id string, h bigint, nw int, b0 bigint, b1 bigint, b2 bigint, words string"
@@ -82,9 +83,13 @@ def lookups(batches: Iterator[pa.RecordBatch], tenths: int = 7) -> Iterator[pa.R
 
     The three bands of length overlap by the ratio of word counts that a pair
     at the threshold can have, so both its texts are in the band of the shorter.
+    Copies within a partition are looked up once.
     """
     folding = Folding()
+    seen: set[int] = set()
     for h, nw, texts in chunks(batches):
+        new = [i for i, x in enumerate(h) if x not in seen and not seen.add(x)]
+        h, nw, texts = ([c[i] for i in new] for c in (h, nw, texts))
         w = split_words(texts, folding, strings=False)
         h, nw = np.array(h, np.int64), np.array(nw, np.int64)
         at, g = grams(w.doc, w.hashes, GRAM)
@@ -112,35 +117,34 @@ class NearDuplicates:
         self.tenths = tenths
         given = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
         self.prepared = given.mapInArrow(prepare, PREPARED).persist(StorageLevel.MEMORY_AND_DISK)
-        self.docs = self.prepared.drop("id").dropDuplicates(["h"]).persist(StorageLevel.MEMORY_AND_DISK)
         self.posts = (
-            self.docs.select("h", "nw", "words").mapInArrow(lambda it: lookups(it, tenths), POSTS).persist(StorageLevel.MEMORY_AND_DISK)
+            self.prepared.select("h", "nw", "words").mapInArrow(lambda it: lookups(it, tenths), POSTS).persist(StorageLevel.MEMORY_AND_DISK)
         )
         self.members = self.prepared.select("id", "h").distinct()
 
     def release(self) -> None:
         self.posts.unpersist()
-        self.docs.unpersist()
         self.prepared.unpersist()
 
     def class_pairs(self) -> DataFrame:
-        """Pairs (h1, h2) of different texts at or above the threshold, with their overlap."""
-        docs = self.docs
+        """Pairs (h1, h2) of different texts at or above the threshold: words of both, words of either."""
         # at most SHORT * 10 / tenths words have this prefix
         prefix = (10 - self.tenths) * SHORT // self.tenths + 2
-        first = nearjoin.rarest(self.posts, docs.count(), F.when(F.col("kind") == 2, prefix).otherwise(KEPT))
-        first = first.join(docs.select("h", "nw", *nearjoin.BITMAPS), "h")
+        sizes = self.prepared.select("h", "nw", *nearjoin.BITMAPS).dropDuplicates(["h"]).persist(StorageLevel.MEMORY_AND_DISK)
+        first = nearjoin.rarest(self.posts, sizes, F.when(F.col("kind") == 2, prefix).otherwise(KEPT), KEPT // 2)
+        # both sides of the join are this one shuffle
+        first = first.select("h", "g", "fragment").join(sizes, "h").repartition("g", "fragment")
         parts = nearjoin.overlaps(first, first, self.tenths, F.col("a.h") < F.col("b.h"))
-        pairs = parts.groupBy("h1", "h2").agg(F.sum("part").alias("overlap"))
-        text = docs.select("h", "nw", "words")
-        one = text.select(F.col("h").alias("h1"), F.col("nw").alias("n1"), F.col("words").alias("w1"))
-        two = text.select(F.col("h").alias("h2"), F.col("nw").alias("n2"), F.col("words").alias("w2"))
-        both = nearjoin.shared_words(F.col("w1"), F.col("w2"))
+        pairs = cut(parts.groupBy("h1", "h2").agg(F.sum("part").alias("overlap")))
+        keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
+        text = nearjoin.only(self.prepared.select("h", "words"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
+        one, two = (text.select(F.col("h").alias(f"h{k}"), F.col("words").alias(f"w{k}")) for k in (1, 2))
+        sets = (F.array_distinct(F.split(f"w{k}", " ")).alias(f"w{k}") for k in (1, 2))
+        common = F.size(F.array_intersect("w1", "w2"))
         return (
-            pairs.join(one, "h1").join(two, "h2")
-            .withColumn("common", both)
-            .where(F.col("common") * 10 >= (F.col("n1") + F.col("n2") - F.col("common")) * self.tenths)
-            .select("h1", "h2", "common", (F.col("n1") + F.col("n2") - F.col("common")).alias("either"))
+            pairs.join(one, "h1").join(two, "h2").select("h1", "h2", *sets)
+            .select("h1", "h2", common.alias("common"), (F.size("w1") + F.size("w2") - common).alias("either"))
+            .where(F.col("common") * 10 >= F.col("either") * self.tenths)
         )
 
     def pairs(self) -> DataFrame:

@@ -16,14 +16,21 @@ words in which two texts differ.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BITMAPS = ("b0", "b1", "b2")
-#: Fingerprints in more than this share of the texts are broadcast with their
-#: counts; as a text has a bounded number, so are they.
-HOT_SHARE = 1000
+#: A fingerprint is frequent if some partition has it in more than this share
+#: of its texts (and more than HOT_LEAST times).
+HOT_SHARE, HOT_LEAST = 1000, 32
+#: Sets of up to this many keys are broadcast; beyond it a shuffle join is used.
+BROADCAST_KEYS = 1_000_000
 
 
 def fragment(count: Column) -> Column:
@@ -31,27 +38,61 @@ def fragment(count: Column) -> Column:
     return F.floor(F.log2(count) / 2).cast("int")
 
 
-def rarest(posts: DataFrame, n_docs: int, budget: Column) -> DataFrame:
-    """The first fingerprints of every text in the global order.
-
-    ``posts`` has ``h`` (text), ``g`` (fingerprint) and ``kind`` and is distinct
-    in them; ``budget`` says how many a text keeps of a kind.  Fingerprints of
-    one text only join nothing and are left out.  Frequent ones don't meet in
-    one task: they get their counts by broadcast, rare ones by a join in which
-    no key has more than a thousandth of the texts (or 1000).
+def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, g) of a partition to (g, n) of what is frequent in it."""
+    h, g = [], []
+    for b in batches:
+        h.append(np.unique(b.column(0).to_numpy()))
+        g.append(b.column(1).to_numpy())
+    if g:
+        texts = len(np.unique(np.concatenate(h)))
+        value, n = np.unique(np.concatenate(g), return_counts=True)
+        hot = n > max(HOT_LEAST, texts / HOT_SHARE)
+        yield pa.RecordBatch.from_arrays([pa.array(value[hot]), pa.array(n[hot].astype(np.int64))], names=["g", "n"])
+
+
+def rarest(posts: DataFrame, texts: DataFrame, budget: Column, enough: int) -> DataFrame:
+    """The first fingerprints of every text in the global order: (h, g, kind, fragment).
+
+    ``posts`` has ``h`` (text), ``g`` (fingerprint) and ``kind``, repeated for
+    copies of a text; ``texts`` has each ``h`` once; ``budget`` says how many a
+    text keeps of a kind.  Any order that is the same for all texts will do.
+    Fingerprints of one text only join nothing and are left out.
+
+    Fingerprints that are frequent in some partition are few (a text has a
+    bounded number of fingerprints) and get the sum of those counts by
+    broadcast, so that no frequent one gathers its texts in one task; the
+    others meet in a shuffle by fingerprint that counts the texts of each.
+    Frequent ones come last in the order: only texts with fewer than ``enough``
+    rare ones are looked up by them.
     """
-    limit = max(1000, n_docs // HOT_SHARE)
-    counts = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    hot = F.broadcast(counts.where(F.col("df") > limit))
-    cold = counts.where(F.col("df") <= limit)
-    kept = posts.join(hot.select("g"), "g", "left_anti").join(cold, "g").unionByName(posts.join(hot, "g"))
+    hot = posts.select("h", "g").mapInArrow(frequent, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("df"))
+    hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+    cold = posts.join(F.broadcast(hot.select("g")), "g", "left_anti").repartition("g").dropDuplicates(["g", "h"])
+    counted = cold.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df >= 2")
+    every = Window.partitionBy("h")
     order = Window.partitionBy("h", "kind").orderBy("fragment", "g")
-    return (
-        kept.withColumn("fragment", fragment(F.col("df")))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= budget)
-        .drop("place", "df")
-    )
+    columns = ("h", "g", "kind", "fragment")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget).drop("place")
+
+    ranked = first(counted.select("h", "g", "kind", fragment(F.col("df")).alias("fragment")).repartition("h"))
+    ranked = ranked.withColumn("rare", F.count(F.lit(1)).over(every)).persist(StorageLevel.MEMORY_AND_DISK)
+    thin = texts.select("h").join(ranked.where(F.col("rare") >= enough).select("h").distinct(), "h", "left_anti")
+    thin = thin.persist(StorageLevel.MEMORY_AND_DISK)
+    n = thin.count()
+    if n == 0:
+        return ranked.select(*columns)
+    common = only(posts, thin, "h", n).join(F.broadcast(hot), "g").withColumn("fragment", fragment(F.col("df")))
+    more = ranked.where(F.col("rare") < enough).select(*columns).unionByName(common.select(*columns))
+    more = first(more.repartition("h").dropDuplicates(["h", "g"]))
+    return ranked.where(F.col("rare") >= enough).select(*columns).unionByName(more)
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows with a key among ``n`` distinct keys: by broadcast if they are few."""
+    return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, key, "left_semi")
 
 
 def may_reach(a: str, b: str, tenths: int) -> Column:
@@ -65,18 +106,8 @@ def may_reach(a: str, b: str, tenths: int) -> Column:
     )
 
 
-def overlaps(left: DataFrame, right: DataFrame, tenths: int, extra: Column | None = None, aggs: tuple[Column, ...] = ()) -> DataFrame:
-    """Pairs (h1, h2) that share fingerprints, with their overlap summed over the fragments."""
-    on = (F.col("a.g") == F.col("b.g")) & may_reach("a", "b", tenths)
-    if extra is not None:
-        on = on & extra
+def overlaps(left: DataFrame, right: DataFrame, tenths: int, extra: Column) -> DataFrame:
+    """Pairs (h1, h2) of texts that share fingerprints, with the overlap of each fragment."""
+    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.fragment") == F.col("b.fragment")) & may_reach("a", "b", tenths) & extra
     joined = left.alias("a").join(right.alias("b"), on)
-    part = joined.groupBy(F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.col("a.fragment").alias("fragment")).agg(
-        F.count(F.lit(1)).alias("part"), *aggs
-    )
-    return part
-
-
-def shared_words(a: Column, b: Column) -> Column:
-    """Number of words in both of two strings of distinct words separated by blanks."""
-    return F.size(F.array_intersect(F.split(a, " "), F.split(b, " ")))
+    return joined.groupBy(F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.col("a.fragment").alias("fragment")).agg(F.count(F.lit(1)).alias("part"))
