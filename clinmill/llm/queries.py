@@ -5,10 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clinmill.llm import group_splits, packing, pair_defects, pii
+from clinmill.llm.mixing import Mix
 from clinmill.llm.near_duplicates import NearDuplicates
+from clinmill.llm.truncation import Truncation, limits
 from clinmill.sources.tables import table
 
+#: Wanted proportions of the new splits.
+PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return group_splits.divided(table(spark, folder, "vignette"))
+
+
+def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return group_splits.assign(table(spark, folder, "vignette"), PROPORTIONS)
+
+
+def p1_balance(spark: SparkSession, folder: str) -> DataFrame:
+    return group_splits.balance(group_splits.assign(table(spark, folder, "vignette"), PROPORTIONS), list(PROPORTIONS))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defects(table(spark, folder, "paire_preference"))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = table(spark, folder, "paire_preference")
+    return pair_defects.report(pair_defects.defects(pairs), pairs)
+
+
+def pii_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that problem 4 is about: (nom_table, id, text)."""
+    parts = (("vignette", "contexte_clinique"), ("golden_etape1_extraction", "vignette_source"))
+    one, two = (table(spark, folder, t).select(F.lit(t).alias("nom_table"), "id", F.col(c).alias("text")) for t, c in parts)
+    return one.unionByName(two)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.places(pii_texts(spark, folder)).select("nom_table", "id", "type_donnee", "debut")
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(pii_texts(spark, folder))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.places(pii_texts(spark, folder))
+    return found.groupBy("nom_table", "type_donnee").agg(F.count(F.lit(1)).alias("n_places"), F.countDistinct("id").alias("n_textes"))
+
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return NearDuplicates(table(spark, folder, "vignette")).pairs()
@@ -18,9 +66,44 @@ def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
     return NearDuplicates(table(spark, folder, "vignette")).classes()
 
 
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "conteneur"))
+
+
+def p7_rooms(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.rooms(p7_pack(spark, folder), table(spark, folder, "conteneur"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(p7_pack(spark, folder), table(spark, folder, "conteneur"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return Mix(table(spark, folder, "documents"), table(spark, folder, "source_cible")).chosen()
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return Mix(table(spark, folder, "documents"), table(spark, folder, "source_cible")).shares()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return Truncation(table(spark, folder, "documents")).found()
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return Truncation(table(spark, folder, "documents")).rates()
+
+
+def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return limits(Truncation(table(spark, folder, "documents")).shaped)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p6_found": p6_found,
-    "p6_classes": p6_classes,
+    f.__name__: f
+    for f in (
+        p1_found, p1_splits, p1_balance, p3_found, p3_report, p4_found, p4_redacted, p4_report, p6_found, p6_classes,
+        p7_pack, p7_rooms, p7_report, p8_mix, p8_shares, p9_found, p9_rates, p9_limits,
+    )
 }
 SQL: dict[str, str] = {}
 
