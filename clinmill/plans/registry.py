@@ -6,7 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from clinmill.operators import units
+from clinmill.sources.tables import table
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return units.foreign_units(table(spark, folder, "cas_clinique"), table(spark, folder, "convention_unite"))
+
+
+def p5_values(spark: SparkSession, folder: str) -> DataFrame:
+    return units.real_units(table(spark, folder, "cas_clinique"), table(spark, folder, "convention_unite")).distinct()
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return units.segments(units.with_bins(units.measures(table(spark, folder, "cas_clinique"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_values, p5_segments)}
 SQL: dict[str, str] = {}
 
 
