@@ -51,12 +51,16 @@ def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(value[hot]), pa.array(n[hot].astype(np.int64))], names=["g", "n"])
 
 
-def rarest(posts: DataFrame, texts: DataFrame, budget: Column, enough: int) -> DataFrame:
-    """The first fingerprints of every text in the global order: (h, g, kind, fragment).
+def rarest(
+    posts: DataFrame, texts: DataFrame, budget: Column, enough: int, extras: tuple[tuple[str, Column], ...] = (), meets: Column | None = None, met: int = 0
+) -> DataFrame:
+    """The first fingerprints of every text in the global order: (h, g, kind, fragment, extras).
 
     ``posts`` has ``h`` (text), ``g`` (fingerprint) and ``kind``, repeated for
     copies of a text; ``texts`` has each ``h`` once; ``budget`` says how many a
-    text keeps of a kind.  Any order that is the same for all texts will do.
+    text keeps of a kind; ``extras`` are further columns and how copies combine
+    them; ``meets``, an aggregate over all texts with a fingerprint, must be
+    ``met``.  Any order that is the same for all texts will do.
     Fingerprints of one text only join nothing and are left out.
 
     Fingerprints that are frequent in some partition are few (a text has a
@@ -68,16 +72,26 @@ def rarest(posts: DataFrame, texts: DataFrame, budget: Column, enough: int) -> D
     """
     hot = posts.select("h", "g").mapInArrow(frequent, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("df"))
     hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
-    cold = posts.join(F.broadcast(hot.select("g")), "g", "left_anti").repartition("g").dropDuplicates(["g", "h"])
-    counted = cold.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df >= 2")
+    names = [n for n, _ in extras]
+    combined = [c.alias(n) for n, c in extras]
+
+    def merged(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(*combined) if combined else rows.select(*keys).distinct()
+
+    together = Window.partitionBy("g")
+    cold = merged(posts.join(F.broadcast(hot.select("g")), "g", "left_anti").repartition("g"), "g", "h", "kind")
+    counted = cold.withColumn("df", F.count(F.lit(1)).over(together))
+    if meets is not None:
+        counted = counted.withColumn("meets", meets.over(together)).where(F.col("meets") == met).drop("meets")
+    counted = counted.where("df >= 2")
     every = Window.partitionBy("h")
     order = Window.partitionBy("h", "kind").orderBy("fragment", "g")
-    columns = ("h", "g", "kind", "fragment")
+    columns = ("h", "g", "kind", "fragment", *names)
 
     def first(rows: DataFrame) -> DataFrame:
         return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget).drop("place")
 
-    ranked = first(counted.select("h", "g", "kind", fragment(F.col("df")).alias("fragment")).repartition("h"))
+    ranked = first(counted.withColumn("fragment", fragment(F.col("df"))).select(*columns).repartition("h"))
     ranked = ranked.withColumn("rare", F.count(F.lit(1)).over(every)).persist(StorageLevel.MEMORY_AND_DISK)
     thin = texts.select("h").join(ranked.where(F.col("rare") >= enough).select("h").distinct(), "h", "left_anti")
     thin = thin.persist(StorageLevel.MEMORY_AND_DISK)
@@ -86,7 +100,7 @@ def rarest(posts: DataFrame, texts: DataFrame, budget: Column, enough: int) -> D
         return ranked.select(*columns)
     common = only(posts, thin, "h", n).join(F.broadcast(hot), "g").withColumn("fragment", fragment(F.col("df")))
     more = ranked.where(F.col("rare") < enough).select(*columns).unionByName(common.select(*columns))
-    more = first(more.repartition("h").dropDuplicates(["h", "g"]))
+    more = first(merged(more.repartition("h"), "h", "g", "kind", "fragment"))
     return ranked.where(F.col("rare") >= enough).select(*columns).unionByName(more)
 
 
@@ -106,8 +120,9 @@ def may_reach(a: str, b: str, tenths: int) -> Column:
     )
 
 
-def overlaps(left: DataFrame, right: DataFrame, tenths: int, extra: Column) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, tenths: int, extra: Column, aggs: tuple[Column, ...] = ()) -> DataFrame:
     """Pairs (h1, h2) of texts that share fingerprints, with the overlap of each fragment."""
     on = (F.col("a.g") == F.col("b.g")) & (F.col("a.fragment") == F.col("b.fragment")) & may_reach("a", "b", tenths) & extra
     joined = left.alias("a").join(right.alias("b"), on)
-    return joined.groupBy(F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.col("a.fragment").alias("fragment")).agg(F.count(F.lit(1)).alias("part"))
+    keys = F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.col("a.fragment").alias("fragment")
+    return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("part"), *aggs)

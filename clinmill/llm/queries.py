@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinmill.llm import group_splits, packing, pair_defects, pii
+from clinmill.llm import group_splits, packing, pair_defects, pii, split_overlap
 from clinmill.llm.mixing import Mix
 from clinmill.llm.near_duplicates import NearDuplicates
 from clinmill.llm.truncation import Truncation, limits
@@ -29,6 +29,19 @@ def p1_balance(spark: SparkSession, folder: str) -> DataFrame:
     return group_splits.balance(group_splits.assign(table(spark, folder, "vignette"), PROPORTIONS), list(PROPORTIONS))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlap.SplitOverlap(table(spark, folder, "vignette")).found()
+
+
+def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlap.SplitOverlap(table(spark, folder, "vignette")).overlaps()
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    vignettes = table(spark, folder, "vignette")
+    return split_overlap.report(split_overlap.SplitOverlap(vignettes), vignettes)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects.defects(table(spark, folder, "paire_preference"))
 
@@ -101,7 +114,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p1_balance, p3_found, p3_report, p4_found, p4_redacted, p4_report, p6_found, p6_classes,
+        p1_found, p1_splits, p1_balance, p2_found, p2_overlaps, p2_report, p3_found, p3_report, p4_found, p4_redacted, p4_report, p6_found, p6_classes,
         p7_pack, p7_rooms, p7_report, p8_mix, p8_shares, p9_found, p9_rates, p9_limits,
     )
 }
