@@ -82,10 +82,17 @@ class Types:
 
 
 class Crf:
-    """Weights: offsets x feature slots x labels, and transitions."""
+    """Weights: offsets x known feature slots x labels, and transitions.
 
-    def __init__(self, weights: np.ndarray, transitions: np.ndarray) -> None:
+    ``known`` lists the slots met in training; the last row of the weights is
+    zero and stands for all others.
+    """
+
+    def __init__(self, known: np.ndarray, weights: np.ndarray, transitions: np.ndarray) -> None:
+        self.known = known
         self.weights = weights
+        self.row = np.full(DIMS, len(known), np.int64)
+        self.row[known] = np.arange(len(known))
         self.transitions = transitions
         t = transitions
         #: What a label can gain at most by its neighbours over "no personal data" there.
@@ -95,7 +102,7 @@ class Crf:
         """Scores of types: types x offsets x labels."""
         out = np.zeros((len(slots), len(OFFSETS), K), np.float32)
         for i, s in enumerate(slots):
-            out[i] = self.weights[:, s, :].sum(1)
+            out[i] = self.weights[:, self.row[s], :].sum(1)
         return out
 
     def viterbi(self, scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -222,10 +229,10 @@ def train(texts: list[list[tuple[str, str]]], epochs: int = EPOCHS, seed: int =
                 w[j] -= rate * gw / np.sqrt(hist[j])
             thist += tg * tg
             trans -= rate * tg / np.sqrt(thist)
-    full = np.zeros((len(OFFSETS), DIMS, K), np.float32)
     real = used < DIMS
-    full[:, used[real]] = w[:, real]
-    return Crf(full, trans)
+    weights = np.zeros((len(OFFSETS), int(real.sum()) + 1, K), np.float32)
+    weights[:, :-1] = w[:, real]
+    return Crf(used[real], weights, trans)
 
 
 @lru_cache(maxsize=1)
@@ -351,17 +358,22 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
             yield [c.to_pylist() for c in b.slice(at, CHUNK).columns]
 
 
+def shipped(df: DataFrame):
+    """The model as a broadcast of plain arrays, of a size fixed by the labelled table."""
+    crf = model()
+    return df.sparkSession.sparkContext.broadcast((crf.known, crf.weights, crf.transitions))
+
+
 def places(texts: DataFrame) -> DataFrame:
     """(nom_table, id, text) to one row per place, as ``PLACES``.
 
     ``debut`` is the number of characters before the place, ``fin`` the number
     before its end.  Null and empty texts have none; repeated rows count once.
     """
-    spark = texts.sparkSession
-    crf = spark.sparkContext.broadcast(model())  # of a fixed size
+    crf = shipped(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(crf.value)
+        tagger = Tagger(Crf(*crf.value))
         for names, ids, given in _batches(batches):
             rows = [(n, i, k, a, b, t[a:b]) for n, i, t, found in zip(names, ids, given, tagger(given)) for k, a, b in found]
             cols = list(zip(*rows)) or [[]] * 6
@@ -377,10 +389,10 @@ def places(texts: DataFrame) -> DataFrame:
 def redacted(texts: DataFrame) -> DataFrame:
     """(nom_table, id, text) with typed placeholders in the places; all else,
     rows without text included, unchanged."""
-    crf = texts.sparkSession.sparkContext.broadcast(model())
+    crf = shipped(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(crf.value)
+        tagger = Tagger(Crf(*crf.value))
         for names, ids, given in _batches(batches):
             out = []
             for t, found in zip(given, tagger([t or "" for t in given])):

@@ -192,6 +192,11 @@ Une corde, des lunettes brisées et du sang séché ont été trouvés à la pis
 Une allure ralentie, le teint gris et une pâleur cutanée frappent le chirurgien.
 La douleur, cotée <n> sur 100, est lancinante et descend vers la nuque.
 Quelle conduite retenez-vous dans ce contexte de palpitations ?
+Énoncé. Adressé par le dermatologue, un menuisier de <n> ans décrit une otalgie.
+Observation. Une fleuriste de <n> ans vient pour fièvre.
+Contexte : Un ami rapporte un malaise avec chute.
+Histoire. La patiente, couturière, appelle le centre.
+Question. Quel examen demandez-vous ?
 [Dossier progressif] Un routier de <n> ans appelle pour essoufflement croissant depuis <n> jours.
 Cas clinique : une bibliothécaire de <n> ans vient pour céphalées en casque depuis <n> jours.
 A retired cook from <ville>, aged <n>, is brought in with night sweats and wet cough.
