@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType
 
 #: A vocabulary file of the ``tokenizers`` library; any other may be given.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -38,7 +39,7 @@ def with_token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", pa
     """(doc_id, kept columns, jetons) of all rows with a text; whole texts are encoded."""
     vocab = vocabulary(df.sparkSession, path)
     given = df.select(key, *keep, text).where(f"{text} is not null and {key} is not null")
-    schema = given.drop(text).schema.add("jetons", "int")
+    schema = given.drop(text).schema.add("jetons", IntegerType())
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
