@@ -6,29 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinmill.operators import units
-from clinmill.sources.tables import table
+from clinmill.plans import curation, dialogues, measures
 
-
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return units.foreign_units(table(spark, folder, "cas_clinique"), table(spark, folder, "convention_unite"))
-
-
-def p5_values(spark: SparkSession, folder: str) -> DataFrame:
-    return units.real_units(table(spark, folder, "cas_clinique"), table(spark, folder, "convention_unite")).distinct()
-
-
-def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return units.segments(units.with_bins(units.measures(table(spark, folder, "cas_clinique"))))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_values, p5_segments)}
-SQL: dict[str, str] = {}
+MODULES = (curation, dialogues, measures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents to records, checked, grouped by text and counted per language."""
+    return curation.document_texts(spark, folder)
