@@ -33,7 +33,7 @@ OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_|\n+")
 DIMS = 1 << 16
 #: Texts of the labelled table, passes over it.
-TRAINING_TEXTS, EPOCHS = 1600, 6
+TRAINING_TEXTS, EPOCHS = 3000, 8
 CHUNK = 256
 PLACES = "nom_table string, id string, type_donnee string, debut bigint, fin bigint, texte string"
 _GIVEN, _STREETS, _CIVIL = ({fold(w) for w in x} for x in (GIVEN, STREETS, CIVILITIES))

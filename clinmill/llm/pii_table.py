@@ -40,6 +40,12 @@ Note relue et signée {INI} ce soir.
 Son voisin, {NOM}, l'accompagne et répond aux questions.
 Sa fille, {NOM}, l'accompagne et répond aux questions.
 Son aidant, {NOM}, a rappelé à midi.
+La personne de confiance, {NOM}, l'accompagne et répond aux questions.
+Sa tutrice, {NOM}, reste joignable.
+Lettre rédigée puis signée {INI}.
+Ordonnance signée {INI}. Elle repart à pied.
+The caller gives the name {NOM} for the file.
+N° SS : {ID9}.
 {NOM}, présent à l'accueil, a tout vu.
 {NOM} a signé la décharge.
 {NOM} dort mal depuis la sortie.
@@ -58,6 +64,9 @@ Mme {INI} confirme les horaires de prise.
 M. {INI} confirme la date du vaccin.
 Vu par le Pr {FAM} dans la nuit.
 Vu par le Dr {FAM} en salle de déchocage.
+Vu par le Pr {FAM}. Une coiffeuse attend son tour.
+Vu par le docteur {FAM} hier.
+Rappeler au {TEL}. Numéro de sécurité sociale {ID9} vérifié.
 Avis pris auprès du docteur {FAM} en salle de déchocage.
 Avis pris auprès du professeur {FAM} dans la nuit.
 Compte rendu dicté par le Dr {FAM}.
