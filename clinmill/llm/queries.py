@@ -118,7 +118,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p7_pack, p7_rooms, p7_report, p8_mix, p8_shares, p9_found, p9_rates, p9_limits,
     )
 }
-SQL: dict[str, str] = {}
+_SPLIT = "case when lower(trim(split)) in ('train', 'entrainement') then 'train' when lower(trim(split)) in ('validation', 'valid', 'dev') then 'validation' when lower(trim(split)) = 'test' then 'test' end"
+_GROUPS = """v as (select id, regexp_extract(regexp_replace(regexp_replace(lower(cas_id), '[^0-9a-z]', '', 'g'), '^cas', ''), '^[0-9a-f]{12}$') as k, ids_questions as q, """ + _SPLIT + """ as s from vignette),
+    l as (select distinct id as a, 'c:' || k as b from v where k <> '' union select distinct v.id, 'r:' || o.id from (select id, unnest(q) as n from v) v join v o on o.id = v.n),
+    e as (select a, b from l union select id, 'r:' || id from v), n as (select distinct x.a, y.a as c from e x join e y using (b)),
+    w(a, r) as (select id, id from v union select n.c, w.r from w join n on n.a = w.a), g as (select a as id, min(r) as groupe_id from w group by a)"""
+_WORDS = """t as (select distinct id, """ + _SPLIT + """ as s, list_distinct(regexp_extract_all(strip_accents(lower(contexte_clinique)), '[\\p{L}\\p{N}]+')) as w from vignette where trim(coalesce(contexte_clinique, '')) <> ''),
+    d as (select row_number() over () as h, w, len(w) as n from (select distinct list_sort(w) as w from t)), m as (select t.id, t.s, d.h from t join d on d.w = list_sort(t.w)),
+    x as (select h, n, unnest(w) as x from d), c as (select a.h as h1, b.h as h2, count(*) as c from x a join x b on a.x = b.x and a.h < b.h and a.n >= 0.7 * b.n and b.n >= 0.7 * a.n group by all),
+    p as (select h1, h2 from c join d a on a.h = h1 join d b on b.h = h2 where 10 * c >= 7 * (a.n + b.n - c) union all select h, h from d)"""
+
+#: Brute force; only for tables as small as the checked ones.
+SQL: dict[str, str] = {
+    "p1_found": f"with recursive {_GROUPS}, x as (select groupe_id from v join g using (id) group by groupe_id having count(distinct s) > 1) select id, groupe_id from g join x using (groupe_id)",
+    "p2_found": f"with {_WORDS} select distinct least(a.id, b.id) as id_1, greatest(a.id, b.id) as id_2 from p join m a on a.h = h1 join m b on b.h = h2 where a.id <> b.id and (a.s = 'train') <> (b.s = 'train')",
+    "p6_found": f"with {_WORDS} select distinct least(a.id, b.id) as id_1, greatest(a.id, b.id) as id_2 from p join m a on a.h = h1 join m b on b.h = h2 where a.id <> b.id",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
