@@ -92,7 +92,8 @@ def measures(df: DataFrame, quantities: tuple[Quantity, ...] = QUANTITIES, key:
     """Long form: (key, source, champ, valeur, mesure_le, declaree).
 
     One row per non-null value; NaN is null.  Repeated rows stay (see
-    ``real_units``).  Sources that differ in case or outer blanks are one.
+    ``real_units``).  Sources that differ in case or outer blanks are one, null
+    ones are "".
     """
     parts = [
         F.struct(
@@ -103,15 +104,16 @@ def measures(df: DataFrame, quantities: tuple[Quantity, ...] = QUANTITIES, key:
         for q in quantities
     ]
     return (
-        df.select(F.col(key), F.lower(F.trim("source")).alias("source"), F.col(time).alias("mesure_le"), F.explode(F.array(*parts)).alias("m"))
+        df.select(F.col(key), F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.col(time).alias("mesure_le"), F.explode(F.array(*parts)).alias("m"))
         .select(key, "source", "mesure_le", "m.*")
         .where("valeur is not null")
     )
 
 
-def pelt(n: np.ndarray, s: np.ndarray, ss: np.ndarray, penalty: float) -> list[int]:
+def pelt(n: np.ndarray, s: np.ndarray, ss: np.ndarray, penalty: float, least: int = 1) -> list[int]:
     """Exact optimal segmentation of weighted bins by squared error plus a
-    penalty per segment; returns the first bin of each segment.
+    penalty per segment; returns the first bin of each segment, of which each
+    has at least ``least`` bins.
 
     ``n``, ``s``, ``ss`` are counts, sums and sums of squares of the bins.
     Starts that can't be optimal any more are pruned, which changes no result.
@@ -123,12 +125,16 @@ def pelt(n: np.ndarray, s: np.ndarray, ss: np.ndarray, penalty: float) -> list[i
     back = np.zeros(m + 1, int)
     open_ = np.array([0])
     for t in range(1, m + 1):
-        w = np.maximum(cn[t] - cn[open_], 1e-12)
-        cost = css[t] - css[open_] - (cs[t] - cs[open_]) ** 2 / w
-        total = best[open_] + cost
-        k = int(np.argmin(total))
-        best[t], back[t] = total[k] + penalty, open_[k]
-        open_ = np.r_[open_[total <= best[t]], t]
+        able = open_[open_ <= t - least]
+        if len(able):
+            w = np.maximum(cn[t] - cn[able], 1e-12)
+            total = best[able] + css[t] - css[able] - (cs[t] - cs[able]) ** 2 / w
+            k = int(np.argmin(total))
+            best[t], back[t] = total[k] + penalty, able[k]
+            open_ = np.r_[able[total <= best[t]], open_[open_ > t - least]]
+        open_ = np.r_[open_, t]
+    if not np.isfinite(best[m]):
+        return [0]
     cuts, t = [], m
     while t > 0:
         cuts.append(int(back[t]))
@@ -168,7 +174,7 @@ def segments(long: DataFrame, quantities: tuple[Quantity, ...] = QUANTITIES, pen
         gn, gs, gss = (np.bincount(group, x) for x in (n, s, ss))
         mean = gs / gn
         spread = float(np.sum(gss - gn * mean**2) / max(gn.sum() - len(gn), 1.0)) if len(gn) else 0.0
-        starts = pelt(gn, gs, gss, penalty * max(spread, 1e-3) * math.log(max(gn.sum(), 2.0)))
+        starts = pelt(gn, gs, gss, penalty * max(spread, 1e-3) * math.log(max(gn.sum(), 2.0)), least=2)
         seg = np.searchsorted(starts, np.arange(len(gn)), side="right") - 1
         sn, sm = np.bincount(seg, gn), np.bincount(seg, gs) / np.bincount(seg, gn)
         names = list(q.factors)
@@ -202,13 +208,14 @@ def real_units(df: DataFrame, conventions: DataFrame, key: str = "releve_no", qu
     (source, champ, unite), which holds where the two differ; a systolic
     pressure under 30 is never in mmHg but in cmHg, a glycaemia of 40 or more
     never in mmol/l but in mg/dl.  Zero and negative values have no logarithm
-    and go by convention.  Repeated rows give repeated equal rows.
+    and go by convention; where nothing tells a unit it is the common one.  Repeated rows give repeated equal rows.
     """
     long = with_bins(measures(df, quantities, key))
     seg = segments(long, quantities).select("source", "champ", "bin", "unite_segment")
     told = conventions.select(F.lower(F.trim("source")).alias("source"), "champ", F.col("unite").alias("convenue")).dropDuplicates(["source", "champ"])
     rows = long.join(seg, ["source", "champ", "bin"], "left").join(told, ["source", "champ"], "left")
-    unit = F.coalesce("declaree", "convenue", "unite_segment")
+    common = F.coalesce(*(F.when(F.col("champ") == q.value, q.common) for q in quantities))
+    unit = F.coalesce(F.col("declaree"), F.col("convenue"), F.col("unite_segment"), common)
     from_unit = F.when((F.col("champ") == PRESSURE.value) & (F.col("valeur") < 30) & (unit == "mmHg"), "cmHg").when(
         (F.col("champ") == GLUCOSE.value) & (F.col("valeur") >= 40) & (unit == "mmol/l"), "mg/dl"
     ).otherwise(unit)

@@ -46,7 +46,7 @@ def question_pages(spark: SparkSession, folder: str, include: list[str] | None =
     sub-folders; otherwise all but ``exclude``.
     """
     paths = [f"{folder}/{d}/*.xml" for d in include] if include else f"{folder}/*/*.xml"
-    text = spark.read.option("wholetext", "true").text(paths).select(F.col("value"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("dossier"))
+    text = spark.read.text(paths, wholetext=True).select(F.col("value"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("dossier"))
     if not include and exclude:
         text = text.where(~F.col("dossier").isin(*exclude))
     schema = "struct<_id:string,Focus:string,QAPairs:struct<QAPair:array<struct<_pid:string,Question:struct<_VALUE:string,_qtype:string>,Answer:string>>>>"
