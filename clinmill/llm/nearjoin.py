@@ -63,15 +63,16 @@ def rarest(
     ``met``.  Any order that is the same for all texts will do.
     Fingerprints of one text only join nothing and are left out.
 
-    Fingerprints that are frequent in some partition are few (a text has a
-    bounded number of fingerprints) and get the sum of those counts by
-    broadcast, so that no frequent one gathers its texts in one task; the
-    others meet in a shuffle by fingerprint that counts the texts of each.
+    Fingerprints that are frequent in some partition, and by these counts in
+    more than a thousandth of all texts, are at most a thousand times as many as
+    a text has fingerprints.  They get these counts by broadcast, so that no
+    frequent one gathers its texts in one task; the others meet in a shuffle by
+    fingerprint that counts the texts of each.
     Frequent ones come last in the order: only texts with fewer than ``enough``
     rare ones are looked up by them.
     """
     hot = posts.select("h", "g").mapInArrow(frequent, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("df"))
-    hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+    hot = hot.where(F.col("df") > max(HOT_LEAST, texts.count() // HOT_SHARE)).persist(StorageLevel.MEMORY_AND_DISK)
     names = [n for n, _ in extras]
     combined = [c.alias(n) for n, c in extras]
 
