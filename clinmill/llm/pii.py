@@ -187,17 +187,20 @@ def train(texts: list[list[tuple[str, str]]], epochs: int = EPOCHS, seed: int =
             live = ids >= 0
             e = np.zeros((n, size, K))
             cols = []
+            kinds, flat = np.unique(ids[live], return_inverse=True)
+            local = np.full((n, size), len(kinds))  # the last row of a table stands for no token
+            local[live] = flat
+            slots_of = compact[kinds]
             for j, o in enumerate(OFFSETS):
-                moved = np.full_like(ids, -1)
+                moved = np.full_like(local, len(kinds))
                 if o < 0:
-                    moved[:, -o:] = ids[:, :o]
+                    moved[:, -o:] = local[:, :o]
                 elif o:
-                    moved[:, :-o] = ids[:, o:]
+                    moved[:, :-o] = local[:, o:]
                 else:
-                    moved = ids
-                f = np.where((moved >= 0)[..., None], compact[moved], blank)
-                cols.append(f)
-                e += w[j][f].sum(2)
+                    moved = local
+                cols.append(moved)
+                e += np.concatenate([w[j][slots_of].sum(1), np.zeros((1, K))])[moved]
             # forward and backward over padded texts
             alpha, beta = np.zeros((n, size, K)), np.zeros((n, size, K))
             alpha[:, 0] = e[:, 0] + trans[0]
@@ -217,16 +220,16 @@ def train(texts: list[list[tuple[str, str]]], epochs: int = EPOCHS, seed: int =
                 pair = np.exp(alpha[m, k - 1, :, None] + trans[None] + (e[m, k] + beta[m, k])[:, None, :] - z[m, None, None])
                 tg += pair.sum(0)
                 np.subtract.at(tg, (y[m, k - 1], y[m, k]), 1)
-            flat = g[live]
-            for j, f in enumerate(cols):
-                gw = np.zeros((len(used), K))
-                ff = f[live]
-                for k in range(K):
-                    gw[:, k] = np.bincount(ff.ravel(), np.repeat(flat[:, k], width), minlength=len(used))
-                gw[blank] = 0
-                gw += decay * w[j]
-                hist[j] += gw * gw
-                w[j] -= rate * gw / np.sqrt(hist[j])
+            # gradients are summed by token type, then spread to its features; only touched rows move
+            touched, at = np.unique(slots_of.ravel(), return_inverse=True)
+            for j, moved in enumerate(cols):
+                by_type = np.stack([np.bincount(moved[live], g[..., k][live], minlength=len(kinds) + 1)[:-1] for k in range(K)], 1)
+                spread = np.repeat(by_type, width, axis=0)
+                gw = np.stack([np.bincount(at.ravel(), spread[:, k], minlength=len(touched)) for k in range(K)], 1)
+                gw += decay * w[j][touched]
+                gw[touched == blank] = 0
+                hist[j][touched] += gw * gw
+                w[j][touched] -= rate * gw / np.sqrt(hist[j][touched])
             thist += tg * tg
             trans -= rate * tg / np.sqrt(thist)
     real = used < DIMS
