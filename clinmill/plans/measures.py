@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clinmill.functions import numeric as N
 from clinmill.functions import text as T
-from clinmill.operators import metrics, reports, rules, units
+from clinmill.operators import metrics, reports, responses, rules, units
 from clinmill.plans import sql as Q
 from clinmill.sources.tables import table
 from clinmill.streaming import conversations
@@ -202,6 +202,25 @@ def forced_conclusion(spark, folder):
     return v.groupBy(T.chosen_of(["un", "deux", "trois"], F.concat_ws("-", "id", F.lit("conclusion"))).alias("choix")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def parsed_responses(spark, folder):
+    e = table(spark, folder, "events")
+    raw = F.when(F.col("event_type") == "error", "illisible").otherwise(F.concat(F.lit("voici "), F.col("props"), F.lit(" fin")))
+    resp = e.select(F.col("user_id").alias("id"), F.col("event_type").alias("stage"), F.col("event_id").alias("attempt"), raw.alias("raw_text"))
+    out = responses.staged(e.select(F.col("user_id").alias("id")).distinct(), resp, [("click", "struct<k:int>", F.col("value.k") > 20), ("error", "struct<k:int>", None)])
+    return out.select("id", F.col("click.k").alias("k"), "_echec")
+
+
+def golden_comparison(spark, folder):
+    g = table(spark, folder, "golden_etape1_extraction").select("id", "extraction_attendue.motif_id", "extraction_attendue.criteres_presents", "extraction_attendue.gcs")
+    made = g.select("id", F.when(F.col("gcs") == 15, F.col("motif_id")).alias("motif_id"), F.reverse("criteres_presents").alias("criteres_presents"), "gcs")
+    return responses.golden(made, g, "id", ["motif_id", "criteres_presents", "gcs"])
+
+
+def catalogue_sections(spark, folder):
+    m = table(spark, folder, "motif")
+    return responses.sectioned(m, "specialite", F.concat(F.lit("- "), F.col("libelle")), ["Neurologie", "Urologie"], "id")
+
+
 def event_windows(spark, folder):
     return conversations.windowed_counts(table(spark, folder, "events"), window="1 hour").withColumn("somme", F.round("somme", 4))
 
@@ -211,7 +230,7 @@ QUERIES = {
     for f in (
         p5_found, p5_values, p5_segments, numbers_in_text, value_presence, lenient_numbers, declared_units, motif_join, criteria_histogram, triggered_modifiers, red_flags, override, age_bands,
         review_scores, review_queue, quantile_waiting, threshold_argmax, confusion, classifier_metrics, baseline_metrics, style_pairs, label_crosstab, status_shares, top_motifs, run_summary, token_share,
-        span_overlaps, flagged_islands, quote_check, quote_longest_run, grid_catalogue, forced_conclusion, event_windows,
+        span_overlaps, flagged_islands, quote_check, quote_longest_run, grid_catalogue, forced_conclusion, event_windows, parsed_responses, golden_comparison, catalogue_sections,
     )
 }
 
@@ -321,4 +340,10 @@ SQL = {
     "grid_catalogue": """with l as (select p_brand, '1' as tri, p_name as critere from part union all select p_brand, '2', p_type from part)
         select p_brand, tri, array_to_string(list_sort(list(distinct trim(critere))), ' ; ') as critere from l where coalesce(trim(critere), '') <> '' and not contains(strip_accents(lower(critere)), 'ring') group by all""",
     "event_windows": "select time_bucket(interval 1 hour, ts) as debut, event_type, count(*) as n, round(sum(value), 4) as somme from events group by all",
+    "parsed_responses": """with c as (select user_id as id, cast(json_extract(props, '$.k') as int) as k, event_id from events where event_type = 'click'), r as (select id, k, row_number() over (partition by id order by coalesce(k <= 20, true), event_id desc) as r from c)
+        select u.id, case when r.k > 20 then r.k end as k, case when r.k > 20 then 'error' else 'click' end as _echec from (select distinct user_id as id from events) u left join r on u.id = r.id and r.r = 1""",
+    "golden_comparison": """with g as (select id, extraction_attendue.motif_id as m, extraction_attendue.criteres_presents as c, extraction_attendue.gcs as g from golden_etape1_extraction)
+        select id, case when g = 15 then m end is not distinct from m as ok_motif_id, true as ok_criteres_presents, true as ok_gcs, case when g = 15 then m end is not distinct from m as ok from g""",
+    "catalogue_sections": """with p as (select specialite as section, min(case specialite when 'Neurologie' then 0 when 'Urologie' then 1 else 2 end) as p, min(id) as f, string_agg('- ' || libelle, chr(10) order by id) as texte from motif group by specialite)
+        select section, cast(row_number() over (order by p, f) as int) as rang, texte from p""",
 }
