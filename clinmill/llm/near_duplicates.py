@@ -1,14 +1,12 @@
-"""Near-duplicate texts by a vertically partitioned similarity join.
+"""Near-duplicate texts by an exact similarity join.
 
 Texts are compared by their distinct words: runs of letters and digits, lower
 case, without accents.  Two texts are near duplicates if the words of both
 divided by the words of either reach ``tenths`` / 10.
 
-Exact copies (texts with the same words) are one class from the start.  Each
-class is looked up by sampled word 5-grams; see ``nearjoin`` for the order,
-the fragments and the bounds.  Texts with few words are looked up by the
-classic prefix of single words instead, which loses no pair.  Every candidate
-is then compared exactly.
+Exact copies (texts with the same words) are one class from the start.  All
+pairs of classes are tested by the bounds of ``nearjoin``, which lose none;
+every pair that is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -23,19 +21,12 @@ from pyspark.sql import functions as F
 
 from clinmill.llm import nearjoin
 from clinmill.llm.components import connected
-from clinmill.llm.shingles import Folding, distinct, grams, mixed, split_words
+from clinmill.llm.shingles import Folding, distinct, mixed, split_words
 from clinmill.runtime import cut
 
-GRAM = 5
-#: 5-grams by which a text is looked up.
-KEPT = 10
-#: A text of up to SHORT distinct words is looked up by single words, one of up
-#: to MIDDLE by all its 5-grams, a longer one by those with hash divisible by RATE.
-SHORT, MIDDLE, RATE = 40, 70, 7
 #: Texts that are worked on at a time, so that arrays stay in the caches.
 CHUNK = 512
-PREPARED = "id string, h bigint, nw int, b0 bigint, b1 bigint, b2 bigint, words string"
-POSTS = "h bigint, kind tinyint, g bigint"
+PREPARED = "id string, h bigint, nw int, bits binary, words string"
 
 
 def batch(schema: str, *columns: np.ndarray | list | pa.Array) -> pa.RecordBatch:
@@ -50,12 +41,6 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[lis
             yield [c.to_pylist() for c in b.slice(at, size).columns]
 
 
-def parity(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """For each text 192 bits, each the parity of how many of its values fall on it."""
-    bits = np.bincount(doc * 192 + (values % np.uint64(192)).astype(np.int64), minlength=192 * n) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n, 192), axis=1).view(np.int64).reshape(n, 3)
-
-
 def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to the columns of ``PREPARED``; texts without a word give no row."""
     folding = Folding()
@@ -66,44 +51,19 @@ def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = mixed(value)
         h = np.zeros(n, np.uint64)
         np.add.at(h, doc, spread)
-        maps = parity(doc, spread, n)
+        nw = np.bincount(doc, minlength=n)
+        maps = nearjoin.bitmaps(doc, spread, nw)
         has = np.flatnonzero(w.lengths)
         yield batch(
             PREPARED,
             [ids[i] for i in has.tolist()],
             h[has].view(np.int64),
-            np.bincount(doc, minlength=n)[has].astype(np.int32),
-            *(np.ascontiguousarray(maps[has, k]) for k in range(3)),
+            nw[has].astype(np.int32),
+            pa.array([maps[i] for i in has.tolist()], pa.binary()),
             [w.texts[i] for i in has.tolist()],
         )
 
 
-def lookups(batches: Iterator[pa.RecordBatch], tenths: int = 7) -> Iterator[pa.RecordBatch]:
-    """(h, nw, words) to what a text is looked up by, as ``POSTS``.
-
-    The three bands of length overlap by the ratio of word counts that a pair
-    at the threshold can have, so both its texts are in the band of the shorter.
-    Copies within a partition are looked up once.
-    """
-    folding = Folding()
-    seen: set[int] = set()
-    for h, nw, texts in chunks(batches):
-        new = [i for i, x in enumerate(h) if x not in seen and not seen.add(x)]
-        h, nw, texts = ([c[i] for i in new] for c in (h, nw, texts))
-        w = split_words(texts, folding, strings=False)
-        h, nw = np.array(h, np.int64), np.array(nw, np.int64)
-        at, g = grams(w.doc, w.hashes, GRAM)
-        doc = w.doc[at]
-        long = (nw[doc] >= MIDDLE) & (g % np.uint64(RATE) == 0)
-        mid = (nw[doc] >= SHORT) & (nw[doc] * tenths <= MIDDLE * 10)
-        few = nw[w.doc] * tenths <= SHORT * 10
-        for kind, d, values in ((0, doc[long], g[long]), (1, doc[mid], g[mid]), (2, w.doc[few], w.hashes[few])):
-            d, values = distinct(d, values)
-            if len(d):
-                values = mixed(values * np.uint64(3) + np.uint64(kind))
-                yield batch(POSTS, h[d], np.full(len(d), kind, np.int8), values.view(np.int64))
-
-
 class NearDuplicates:
     """The near-duplicate classes and pairs of the texts of a table.
 
@@ -117,25 +77,15 @@ class NearDuplicates:
         self.tenths = tenths
         given = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
         self.prepared = given.mapInArrow(prepare, PREPARED).persist(StorageLevel.MEMORY_AND_DISK)
-        self.posts = (
-            self.prepared.select("h", "nw", "words").mapInArrow(lambda it: lookups(it, tenths), POSTS).persist(StorageLevel.MEMORY_AND_DISK)
-        )
         self.members = self.prepared.select("id", "h").distinct()
 
     def release(self) -> None:
-        self.posts.unpersist()
         self.prepared.unpersist()
 
     def class_pairs(self) -> DataFrame:
         """Pairs (h1, h2) of different texts at or above the threshold: words of both, words of either."""
-        # at most SHORT * 10 / tenths words have this prefix
-        prefix = (10 - self.tenths) * SHORT // self.tenths + 2
-        sizes = self.prepared.select("h", "nw", *nearjoin.BITMAPS).dropDuplicates(["h"]).persist(StorageLevel.MEMORY_AND_DISK)
-        first = nearjoin.rarest(self.posts, sizes, F.when(F.col("kind") == 2, prefix).otherwise(KEPT), KEPT // 2)
-        # both sides of the join are this one shuffle
-        first = first.select("h", "g", "fragment").join(sizes, "h").repartition("g", "fragment")
-        parts = nearjoin.overlaps(first, first, self.tenths, F.col("a.h") < F.col("b.h"))
-        pairs = cut(parts.groupBy("h1", "h2").agg(F.sum("part").alias("overlap")))
+        sizes = self.prepared.select("h", "nw", "bits", F.lit(0).alias("side")).dropDuplicates(["h"])
+        pairs = cut(nearjoin.candidates(sizes, self.tenths))
         keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
         text = nearjoin.only(self.prepared.select("h", "words"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
         one, two = (text.select(F.col("h").alias(f"h{k}"), F.col("words").alias(f"w{k}")) for k in (1, 2))

@@ -1,17 +1,14 @@
-"""Candidate pairs of near-equal texts from their rarest shared fingerprints.
-
-The global order of fingerprints goes from rare to frequent: by the power of
-four of the number of texts that have one, then by hash.  The order is cut into
-fragments at those powers.  A text is looked up by its first fingerprints in
-that order; each fragment is joined by itself, overlaps are counted within it
-and summed per pair.  A copy of a text has the fingerprints of the original save
-those that an edit touched, so the rare ones of both are mostly the same; recall
-against all pairs is measured in the tests.
-
-Two bounds hold for any pair that reaches the Jaccard threshold and prune
-exactly, inside the join: the numbers of distinct words, and the Hamming
-distance of the parity bitmaps of the words, which never exceeds the number of
-words in which two texts differ.
+"""Candidate pairs of near-equal texts: every pair is tested, none is looked up.
+
+Two bounds hold for any pair that reaches the Jaccard threshold: the numbers of
+distinct words, and the Hamming distance of the parity bitmaps of the words,
+which never exceeds the number of words in which two texts differ.  All pairs
+that the lengths allow are tested by the bitmaps, so no pair is lost, whatever
+the edits and however large the groups of copies.
+
+Texts are ordered by length and cut into blocks; each pair of blocks is one
+group of a shuffle.  Up to 16 million texts there are at most some ``BLOCKS``
+blocks, so what is shuffled grows with the texts; the tests grow with their square.
 """
 
 from __future__ import annotations
@@ -20,110 +17,161 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-BITMAPS = ("b0", "b1", "b2")
-#: A fingerprint is frequent if some partition has it in more than this share
-#: of its texts (and more than HOT_LEAST times).
-HOT_SHARE, HOT_LEAST = 1000, 32
 #: Sets of up to this many keys are broadcast; beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
-
-
-def fragment(count: Column) -> Column:
-    """The power of four at or below ``count``."""
-    return F.floor(F.log2(count) / 2).cast("int")
-
-
-def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, g) of a partition to (g, n) of what is frequent in it."""
-    h, g = [], []
-    for b in batches:
-        h.append(np.unique(b.column(0).to_numpy()))
-        g.append(b.column(1).to_numpy())
-    if g:
-        texts = len(np.unique(np.concatenate(h)))
-        value, n = np.unique(np.concatenate(g), return_counts=True)
-        hot = n > max(HOT_LEAST, texts / HOT_SHARE)
-        yield pa.RecordBatch.from_arrays([pa.array(value[hot]), pa.array(n[hot].astype(np.int64))], names=["g", "n"])
-
-
-def rarest(
-    posts: DataFrame, texts: DataFrame, budget: Column, enough: int, extras: tuple[tuple[str, Column], ...] = (), meets: Column | None = None, met: int = 0
-) -> DataFrame:
-    """The first fingerprints of every text in the global order: (h, g, kind, fragment, extras).
-
-    ``posts`` has ``h`` (text), ``g`` (fingerprint) and ``kind``, repeated for
-    copies of a text; ``texts`` has each ``h`` once; ``budget`` says how many a
-    text keeps of a kind; ``extras`` are further columns and how copies combine
-    them; ``meets``, an aggregate over all texts with a fingerprint, must be
-    ``met``.  Any order that is the same for all texts will do.
-    Fingerprints of one text only join nothing and are left out.
-
-    Fingerprints that are frequent in some partition, and by these counts in
-    more than a thousandth of all texts, are at most a thousand times as many as
-    a text has fingerprints.  They get these counts by broadcast, so that no
-    frequent one gathers its texts in one task; the others meet in a shuffle by
-    fingerprint that counts the texts of each.
-    Frequent ones come last in the order: only texts with fewer than ``enough``
-    rare ones are looked up by them.
+#: Blocks that the texts are cut into, and texts of a block at least and at most.
+BLOCKS, BLOCK_LEAST, BLOCK_MOST = 16, 1024, 1 << 20
+#: Texts on a side that are tested at a time, so that arrays stay in the caches.
+TILE = 512
+#: Least width of a bitmap in bits.
+NARROWEST = 128
+ONE, TWO = 1, 2
+PAIRS = "h1 bigint, h2 bigint"
+
+
+def widths(nw: np.ndarray) -> np.ndarray:
+    """Bits of the bitmaps of texts with ``nw`` words: the power of two at or above twice that."""
+    return np.maximum(NARROWEST, 1 << np.ceil(np.log2(2 * np.maximum(nw, 1))).astype(np.int64))
+
+
+def bitmaps(doc: np.ndarray, values: np.ndarray, nw: np.ndarray) -> list[bytes]:
+    """For each text a bitmap, each bit the parity of how many of its values fall on it."""
+    out: list[bytes] = [b""] * len(nw)
+    width = widths(nw)
+    for bits in np.unique(width).tolist():
+        members = np.flatnonzero(width == bits)
+        for at in range(0, len(members), max(1, (1 << 22) // bits)):
+            some = members[at : at + max(1, (1 << 22) // bits)]
+            place = np.full(len(nw), -1, np.int64)
+            place[some] = np.arange(len(some))
+            own = place[doc] >= 0
+            cell = place[doc[own]] * bits + (values[own] % np.uint64(bits)).astype(np.int64)
+            odd = (np.bincount(cell, minlength=bits * len(some)) & 1).astype(np.uint8)
+            for i, packed in zip(some.tolist(), np.packbits(odd.reshape(len(some), bits), axis=1)):
+                out[i] = packed.tobytes()
+    return out
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of (n, k) 64-bit words as bitmaps of fewer words; bits that meet are added modulo 2."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def tiles(h: np.ndarray, nw: np.ndarray, maps: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in the order of length, cut where the width of the bitmaps changes."""
+    order = np.argsort(nw, kind="stable")
+    width = widths(nw[order])
+    out = []
+    for bits in np.unique(width).tolist():
+        same = order[width == bits]
+        for at in range(0, len(same), TILE):
+            some = same[at : at + TILE]
+            out.append((h[some], nw[some].astype(np.int64), np.frombuffer(b"".join(maps[i] for i in some.tolist()), np.uint64).reshape(len(some), -1)))
+    return out
+
+
+def tested(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], tenths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in tile ``a``, in tile ``b``) of the pairs that lengths and bitmaps allow.
+
+    All pairs are tested by bitmaps of half the width and the bound of the
+    longest of each tile, what is left by the whole width and its own bound.
+    """
+    (_, na, ma), (_, nb, mb) = a, b
+    words = min(ma.shape[1], mb.shape[1])
+    kind = np.uint8 if words <= 8 else np.uint32
+    x, y = (np.ascontiguousarray(folded(m, words // 2).T) for m in (ma, mb))
+    differ = np.bitwise_count(x[0][:, None] ^ y[0][None, :]).astype(kind, copy=False)
+    for k in range(1, words // 2):
+        differ += np.bitwise_count(x[k][:, None] ^ y[k][None, :])
+    # a count of 256 that wraps to 0 only lets its pair go on to the next test
+    most = (int(na[-1]) + int(nb[-1])) * (10 - tenths) // (10 + tenths)
+    i, j = np.nonzero(differ <= kind(min(most, np.iinfo(kind).max)))
+    near = (na[i] * 10 >= nb[j] * tenths) & (nb[j] * 10 >= na[i] * tenths)
+    i, j = i[near], j[near]
+    ok = [np.empty(0, bool)]
+    x, y = folded(ma, words), folded(mb, words)
+    step = max(1, (1 << 20) // words)
+    for at in range(0, len(i), step):
+        p, q = i[at : at + step], j[at : at + step]
+        ok.append(np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64) * (10 + tenths) <= (na[p] + nb[q]) * (10 - tenths))
+    keep = np.concatenate(ok)
+    return i[keep], j[keep]
+
+
+def block_pairs(table: pa.Table, tenths: int, b1: int, b2: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(h1, h2) of the pairs across blocks ``b1`` and ``b2``, or within the one
+    if they are the same, of a table with the columns of ``candidates`` and ``block``."""
+    h, nw, side, block = (table.column(c).to_numpy() for c in ("h", "nw", "side", "block"))
+    maps = table.column("bits").to_pylist()
+
+    def cut_of(b: int, s: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        own = np.flatnonzero((block == b) & (side & s != 0))
+        return tiles(h[own], nw[own], [maps[i] for i in own.tolist()])
+
+    alike = bool((side == 0).all())
+    if alike:
+        side = np.full(len(side), ONE)
+        todo = [(b1, ONE, b2, ONE)]
+    else:
+        todo = [(b, ONE, c, TWO) for b, c in {(b1, b2), (b2, b1)}]
+    for b, s, c, t in todo:
+        left = cut_of(b, s)
+        right = left if alike and b == c else cut_of(c, t)
+        for m, one in enumerate(left):
+            for two in right[m:] if alike and b == c else right:
+                if one[1][-1] * 10 < two[1][0] * tenths or two[1][-1] * 10 < one[1][0] * tenths:
+                    continue
+                i, j = tested(one, two, tenths)
+                h1, h2 = one[0][i], two[0][j]
+                if not alike:
+                    keep = h1 != h2
+                elif b == c and one[0] is two[0]:
+                    keep = h1 < h2
+                else:
+                    keep, h1, h2 = np.ones(len(h1), bool), np.minimum(h1, h2), np.maximum(h1, h2)
+                if keep.any():
+                    yield h1[keep], h2[keep]
+
+
+def candidates(texts: DataFrame, tenths: int) -> DataFrame:
+    """All pairs (h1, h2) of texts that lengths and bitmaps allow at a Jaccard of ``tenths`` / 10.
+
+    ``texts`` has each ``h`` once, with ``nw``, ``bits`` and ``side``: 0 for
+    all texts gives each pair once with h1 < h2; else h1 has ``ONE`` and h2 has
+    ``TWO`` among the bits of its side.
     """
-    hot = posts.select("h", "g").mapInArrow(frequent, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("df"))
-    hot = hot.where(F.col("df") > max(HOT_LEAST, texts.count() // HOT_SHARE)).persist(StorageLevel.MEMORY_AND_DISK)
-    names = [n for n, _ in extras]
-    combined = [c.alias(n) for n, c in extras]
-
-    def merged(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(*combined) if combined else rows.select(*keys).distinct()
-
-    together = Window.partitionBy("g")
-    cold = merged(posts.join(F.broadcast(hot.select("g")), "g", "left_anti").repartition("g"), "g", "h", "kind")
-    counted = cold.withColumn("df", F.count(F.lit(1)).over(together))
-    if meets is not None:
-        counted = counted.withColumn("meets", meets.over(together)).where(F.col("meets") == met).drop("meets")
-    counted = counted.where("df >= 2")
-    every = Window.partitionBy("h")
-    order = Window.partitionBy("h", "kind").orderBy("fragment", "g")
-    columns = ("h", "g", "kind", "fragment", *names)
-
-    def first(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget).drop("place")
-
-    ranked = first(counted.withColumn("fragment", fragment(F.col("df"))).select(*columns).repartition("h"))
-    ranked = ranked.withColumn("rare", F.count(F.lit(1)).over(every)).persist(StorageLevel.MEMORY_AND_DISK)
-    thin = texts.select("h").join(ranked.where(F.col("rare") >= enough).select("h").distinct(), "h", "left_anti")
-    thin = thin.persist(StorageLevel.MEMORY_AND_DISK)
-    n = thin.count()
-    if n == 0:
-        return ranked.select(*columns)
-    common = only(posts, thin, "h", n).join(F.broadcast(hot), "g").withColumn("fragment", fragment(F.col("df")))
-    more = ranked.where(F.col("rare") < enough).select(*columns).unionByName(common.select(*columns))
-    more = first(merged(more.repartition("h"), "h", "g", "kind", "fragment"))
-    return ranked.where(F.col("rare") >= enough).select(*columns).unionByName(more)
+    spark = texts.sparkSession
+    by_length = [(r["nw"], r["n"]) for r in texts.groupBy("nw").agg(F.count(F.lit(1)).alias("n")).orderBy("nw").collect()]
+    total = sum(n for _, n in by_length)
+    size = min(BLOCK_MOST, max(BLOCK_LEAST, -(-total // BLOCKS)))
+    starts, bounds, at = [], {}, 0
+    for nw, n in by_length:
+        starts.append((nw, at, n))
+        for b in range(at // size, (at + n - 1) // size + 1):
+            bounds[b] = (bounds.get(b, (nw,))[0], nw)
+        at += n
+    meet = [(b, b * len(bounds) + c) for b in bounds for c in bounds if b <= c and bounds[c][0] * tenths <= bounds[b][1] * 10]
+    meet += [(p % len(bounds), p) for b, p in meet if p % len(bounds) != b]
+    lengths = spark.createDataFrame(starts, "nw int, start bigint, n bigint")
+    partners = spark.createDataFrame(meet, "block int, pair int")
+    placed = texts.join(F.broadcast(lengths), "nw").withColumn("block", F.expr(f"cast((start + pmod(h, n)) div {size} as int)"))
+
+    blocks = len(bounds)
+
+    def group(table: pa.Table) -> pa.Table:
+        found = list(block_pairs(table, tenths, *divmod(table.column("pair")[0].as_py(), blocks)))
+        one, two = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"h1": one, "h2": two})
+
+    return placed.join(F.broadcast(partners), "block").select("pair", "h", "nw", "side", "block", "bits").groupBy("pair").applyInArrow(group, PAIRS)
 
 
 def only(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
     """The rows with a key among ``n`` distinct keys: by broadcast if they are few."""
     return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, key, "left_semi")
-
-
-def may_reach(a: str, b: str, tenths: int) -> Column:
-    """Whether lengths and bitmaps of sides ``a`` and ``b`` allow a Jaccard of ``tenths`` / 10."""
-    n1, n2 = F.col(f"{a}.nw"), F.col(f"{b}.nw")
-    differ = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITMAPS), F.lit(0))
-    return (
-        (n1 * 10 >= n2 * tenths)
-        & (n2 * 10 >= n1 * tenths)
-        & (differ * (10 + tenths) <= (n1 + n2) * (10 - tenths))
-    )
-
-
-def overlaps(left: DataFrame, right: DataFrame, tenths: int, extra: Column, aggs: tuple[Column, ...] = ()) -> DataFrame:
-    """Pairs (h1, h2) of texts that share fingerprints, with the overlap of each fragment."""
-    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.fragment") == F.col("b.fragment")) & may_reach("a", "b", tenths) & extra
-    joined = left.alias("a").join(right.alias("b"), on)
-    keys = F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.col("a.fragment").alias("fragment")
-    return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("part"), *aggs)

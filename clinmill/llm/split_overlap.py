@@ -1,14 +1,16 @@
 """Same or near-same records across splits.
 
-Winnowed fingerprints (minima of rolling hashes of word 5-grams in each window)
-are joined across the splits.  Seeds of a pair are chained where they are
+Candidate pairs across the splits come from ``nearjoin``, which loses none, and
+are compared exactly by their distinct words.  In a pair that reaches the
+threshold, the winnowed fingerprints (minima of rolling hashes of word 5-grams in
+each window) that both texts have are seeds.  Seeds are chained where they are
 collinear, chains are extended by alignment of the words, and the covered part
-of the evaluation text is measured.  Pairs covered enough are then compared
-exactly by their distinct words.
+of the evaluation text is measured.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,44 +21,45 @@ from pyspark.sql import functions as F
 
 from clinmill.llm import nearjoin
 from clinmill.llm.group_splits import normal_split
-from clinmill.llm.near_duplicates import GRAM, PREPARED, SHORT, batch, chunks, prepare
+from clinmill.llm.near_duplicates import PREPARED, batch, chunks, prepare
 from clinmill.llm.shingles import Folding, grams, mixed, split_words, winnowed
 from clinmill.runtime import cut
 
-#: 5-grams of a window of which the minimum is a fingerprint.
-WINDOW = 8
-#: Fingerprints by which a text is looked up, of those on both sides.
-KEPT = 16
+#: Words of a fingerprint, and those of a window of which the minimum is kept.
+GRAM, WINDOW = 5, 8
+#: The single words of a text of up to SHORT distinct words are seeds too, as it may share no 5-gram.
+SHORT = 40
 #: Least covered share of the evaluation text for the exact comparison.
 COVERED = 0.2
 #: Words that an extension may skip on either side to meet again.
 SKIP = 3
-TRAIN, EVALUATION = 1, 2
-POSTS = "h bigint, kind tinyint, g bigint, pos int, side tinyint"
+EVALUATION, TRAIN = nearjoin.ONE, nearjoin.TWO
 COMPARED = "h1 bigint, h2 bigint, graines int, couverts int, mots int, communs int, total int"
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], tenths: int = 7) -> Iterator[pa.RecordBatch]:
-    """(h, nw, side, words) to winnowed fingerprints, as ``POSTS``.
+def fingerprints(texts: list[str], folding: Folding) -> list[dict[int, list[int]]]:
+    """For each text its fingerprints and their places."""
+    w = split_words(texts, folding, strings=False)
+    at, g = grams(w.doc, w.hashes, GRAM)
+    doc = w.doc[at]
+    first = np.cumsum(w.lengths) - w.lengths
+    keep = winnowed(doc, g, WINDOW)
+    few = np.array([len(set(t.split(" "))) <= SHORT for t in texts], bool)[w.doc]
+    out: list[dict[int, list[int]]] = [{} for _ in texts]
+    for kind, d, place, values in ((0, doc[keep], at[keep], g[keep]), (2, w.doc[few], np.flatnonzero(few), w.hashes[few])):
+        values = mixed(values * np.uint64(3) + np.uint64(kind))
+        for i, v, p in zip(d.tolist(), values.tolist(), (place - first[d]).tolist()):
+            out[i].setdefault(v, []).append(p)
+    return out
 
-    Copies of one side within a partition count once.  Texts of few words are
-    looked up by single words too, as they may share no 5-gram.
-    """
-    folding = Folding()
-    seen: set[tuple[int, int]] = set()
-    for h, nw, side, texts in chunks(batches):
-        new = [i for i, x in enumerate(zip(h, side)) if x not in seen and not seen.add(x)]
-        h, nw, side = (np.array([c[i] for i in new], np.int64) for c in (h, nw, side))
-        w = split_words([texts[i] for i in new], folding, strings=False)
-        at, g = grams(w.doc, w.hashes, GRAM)
-        doc = w.doc[at]
-        first = np.cumsum(w.lengths) - w.lengths
-        keep = winnowed(doc, g, WINDOW)
-        few = nw[w.doc] * tenths <= SHORT * 10
-        for kind, d, place, values in ((0, doc[keep], at[keep], g[keep]), (2, w.doc[few], np.flatnonzero(few), w.hashes[few])):
-            if len(d):
-                values = mixed(values * np.uint64(3) + np.uint64(kind))
-                yield batch(POSTS, h[d], np.full(len(d), kind, np.int8), values.view(np.int64), (place - first[d]).astype(np.int32), side[d].astype(np.int8))
+
+def shared(one: dict[int, list[int]], two: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """Seeds: the places of all fingerprints of both, repeated ones in their order."""
+    return [
+        (p[min(k, len(p) - 1)], q[min(k, len(q) - 1)])
+        for p, q in ((one[v], two[v]) for v in one.keys() & two.keys())
+        for k in range(max(len(p), len(q)))
+    ]
 
 
 def chains(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -69,9 +72,7 @@ def chains(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
         ends: list[int] = []
         back = [-1] * len(left)
         for i, (_, b) in enumerate(left):
-            lo = 0
-            while lo < len(tails) and tails[lo] < b:
-                lo += 1
+            lo = bisect_left(tails, b)
             back[i] = ends[lo - 1] if lo else -1
             if lo == len(tails):
                 tails.append(b)
@@ -121,15 +122,22 @@ def coverage(one: list[str], two: list[str], seeds: list[tuple[int, int]]) -> in
     return sum(covered)
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, seeds, words of both) to ``COMPARED``."""
-    for h1, h2, seeds, w1, w2 in chunks(batches):
-        rows = []
-        for a, b, s, x, y in zip(h1, h2, seeds, w1, w2):
-            one, two = x.split(" "), y.split(" ")
-            s1, s2 = set(one), set(two)
+def compare(batches: Iterator[pa.RecordBatch], tenths: int = 7) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, words of both) to ``COMPARED``, for pairs that reach ``tenths`` / 10."""
+    folding = Folding()
+    for h1, h2, w1, w2 in chunks(batches):
+        near = []
+        for a, b, x, y in zip(h1, h2, w1, w2):
+            s1, s2 = set(x.split(" ")), set(y.split(" "))
             both = len(s1 & s2)
-            rows.append((a, b, len(s), coverage(one, two, [(p["p1"], p["p2"]) for p in s]), len(one), both, len(s1) + len(s2) - both))
+            total = len(s1) + len(s2) - both
+            if both * 10 >= total * tenths:
+                near.append((a, b, x, y, both, total))
+        prints = fingerprints([n[k] for n in near for k in (2, 3)], folding) if near else []
+        rows = []
+        for k, (a, b, x, y, both, total) in enumerate(near):
+            one, seeds = x.split(" "), shared(prints[2 * k], prints[2 * k + 1])
+            rows.append((a, b, len(seeds), coverage(one, y.split(" "), seeds), len(one), both, total))
         cols = list(zip(*rows)) or [()] * 7
         yield batch(COMPARED, *(pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)))
 
@@ -149,37 +157,22 @@ class SplitOverlap:
         given = df.where(split.isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(coded.alias("id"), F.col(text_col).alias("text"))
         rows = given.mapInArrow(prepare, PREPARED)
         self.prepared = rows.withColumn("side", F.substring("id", 1, 1).cast("tinyint")).withColumn("id", F.expr("substring(id, 3)")).persist(StorageLevel.MEMORY_AND_DISK)
-        self.posts = (
-            self.prepared.select("h", "nw", "side", "words").mapInArrow(lambda it: fingerprints(it, tenths), POSTS).persist(StorageLevel.MEMORY_AND_DISK)
-        )
         self.members = self.prepared.select("id", "h", "side").distinct()
 
     def release(self) -> None:
-        self.posts.unpersist()
         self.prepared.unpersist()
 
     def text_pairs(self) -> DataFrame:
         """Compared pairs of different texts (h1 evaluation, h2 training)
         whose coverage and common words reach the thresholds."""
         t = self.tenths
-        prefix = (10 - t) * SHORT // t + 2
-        sizes = self.prepared.select("h", "nw", *nearjoin.BITMAPS).dropDuplicates(["h"]).persist(StorageLevel.MEMORY_AND_DISK)
-        first = nearjoin.rarest(
-            self.posts, sizes, F.when(F.col("kind") == 2, prefix).otherwise(KEPT), KEPT // 4,
-            (("pos", F.min("pos")), ("side", F.bit_or("side"))), F.bit_or("side"), TRAIN + EVALUATION,
-        )
-        first = first.select("h", "g", "fragment", "pos", "side").join(sizes, "h")
-        one = first.where(F.col("side").bitwiseAND(EVALUATION) != 0)
-        two = first.where(F.col("side").bitwiseAND(TRAIN) != 0)
-        seeds = F.collect_list(F.struct(F.col("a.pos").alias("p1"), F.col("b.pos").alias("p2"))).alias("s")
-        parts = nearjoin.overlaps(one, two, t, F.col("a.h") != F.col("b.h"), (seeds,))
-        # a text has at most KEPT (or prefix) seeds of a kind
-        pairs = cut(parts.groupBy("h1", "h2").agg(F.flatten(F.collect_list("s")).alias("s")))
+        sizes = self.prepared.groupBy("h").agg(F.first("nw").alias("nw"), F.first("bits").alias("bits"), F.bit_or(F.col("side").cast("int")).alias("side"))
+        pairs = cut(nearjoin.candidates(sizes, t))
         keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
         text = nearjoin.only(self.prepared.select("h", "words"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
         w1, w2 = (text.select(F.col("h").alias(f"h{k}"), F.col("words").alias(f"w{k}")) for k in (1, 2))
-        compared = pairs.join(w1, "h1").join(w2, "h2").select("h1", "h2", "s", "w1", "w2").mapInArrow(compare, COMPARED)
-        return compared.where((F.col("couverts") >= F.col("mots") * COVERED) & (F.col("communs") * 10 >= F.col("total") * t))
+        compared = pairs.join(w1, "h1").join(w2, "h2").select("h1", "h2", "w1", "w2").mapInArrow(lambda it: compare(it, t), COMPARED)
+        return compared.where(F.col("couverts") >= F.col("mots") * COVERED)
 
     def overlaps(self) -> DataFrame:
         """(id_eval, id_train, couverture): all pairs of records; 1 for equal texts."""

@@ -107,3 +107,20 @@ def test_chains_and_coverage():
     assert coverage(one, "a b c X d e f g h i j".split(), [(5, 6)]) == 10
     assert coverage(one, "f g h i j a b c d e".split(), [(0, 5), (6, 1)]) == 10
     assert coverage(one, "z z z".split(), []) == 0
+
+
+def test_group_of_edited_copies_is_whole(spark):
+    """What the copies share is frequent; small edits that recur give rare 5-grams."""
+    r = random.Random(7)
+    base = [f"mot{i}" for i in range(90)]
+    places = r.sample(range(90), 20)
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for p in r.sample(places, 5):
+            copy[p] = f"neuf{p}x{r.randrange(3)}"
+        rows.append((f"a{k}", " ".join(copy)))
+    rows += [(f"b{k}", " ".join(f"autre{r.randrange(4000)}" for _ in range(90))) for k in range(800)]
+    df = spark.createDataFrame(rows, "id string, contexte_clinique string").repartition(3)
+    got = {tuple(x) for x in NearDuplicates(df).pairs().collect()}
+    assert got == brute(rows)
