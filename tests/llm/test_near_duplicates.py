@@ -124,3 +124,17 @@ def test_group_of_edited_copies_is_whole(spark):
     df = spark.createDataFrame(rows, "id string, contexte_clinique string").repartition(3)
     got = {tuple(x) for x in NearDuplicates(df).pairs().collect()}
     assert got == brute(rows)
+
+
+def test_scattered_insertions_share_no_gram(spark):
+    """Pairs at the threshold whose 5-grams are all broken, and long ones."""
+    r = random.Random(5)
+    rows = []
+    for k in range(40):
+        n = r.choice([80, 100, 130, 400])
+        base = [f"m{r.randrange(100_000)}" for _ in range(n)]
+        copy = [y for i, x in enumerate(base) for y in ((x, f"z{r.randrange(100_000)}") if i % 3 == 1 else (x,))]
+        rows += [(f"a{k}", " ".join(base)), (f"b{k}", " ".join(copy))]
+    df = spark.createDataFrame(rows, "id string, contexte_clinique string")
+    got = {tuple(x) for x in NearDuplicates(df).pairs().collect()}
+    assert len(got) == 40 and got == brute(rows)
