@@ -29,8 +29,6 @@ from clinmill.runtime import cut
 GRAM, WINDOW = 5, 8
 #: The single words of a text of up to SHORT distinct words are seeds too, as it may share no 5-gram.
 SHORT = 40
-#: Least covered share of the evaluation text for the exact comparison.
-COVERED = 0.2
 #: Words that an extension may skip on either side to meet again.
 SKIP = 3
 EVALUATION, TRAIN = nearjoin.ONE, nearjoin.TWO
@@ -163,16 +161,15 @@ class SplitOverlap:
         self.prepared.unpersist()
 
     def text_pairs(self) -> DataFrame:
-        """Compared pairs of different texts (h1 evaluation, h2 training)
-        whose coverage and common words reach the thresholds."""
+        """Compared pairs of different texts (h1 evaluation, h2 training) whose
+        common words reach the threshold, with their coverage."""
         t = self.tenths
         sizes = self.prepared.groupBy("h").agg(F.first("nw").alias("nw"), F.first("bits").alias("bits"), F.bit_or(F.col("side").cast("int")).alias("side"))
         pairs = cut(nearjoin.candidates(sizes, t))
         keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
         text = nearjoin.only(self.prepared.select("h", "words"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
         w1, w2 = (text.select(F.col("h").alias(f"h{k}"), F.col("words").alias(f"w{k}")) for k in (1, 2))
-        compared = pairs.join(w1, "h1").join(w2, "h2").select("h1", "h2", "w1", "w2").mapInArrow(lambda it: compare(it, t), COMPARED)
-        return compared.where(F.col("couverts") >= F.col("mots") * COVERED)
+        return pairs.join(w1, "h1").join(w2, "h2").select("h1", "h2", "w1", "w2").mapInArrow(lambda it: compare(it, t), COMPARED)
 
     def overlaps(self) -> DataFrame:
         """(id_eval, id_train, couverture): all pairs of records; 1 for equal texts."""

@@ -138,3 +138,20 @@ def test_scattered_insertions_share_no_gram(spark):
     df = spark.createDataFrame(rows, "id string, contexte_clinique string")
     got = {tuple(x) for x in NearDuplicates(df).pairs().collect()}
     assert len(got) == 40 and got == brute(rows)
+
+
+def test_long_text_with_insertions_is_covered(spark):
+    """A gap longer than an extension skips, at every twelfth word of 1,000."""
+    base = [f"mot{i}" for i in range(1000)]
+    copy = [y for i, x in enumerate(base) for y in ([f"neuf{i}x{k}" for k in range(4)] if i % 12 == 11 else []) + [x]]
+    short = [(f"s{k}", " ".join(f"c{k}x{i}" for i in range(9)), "train") for k in range(5)]
+    df = spark.createDataFrame([("a", " ".join(base), "test"), ("b", " ".join(copy), "train"), *short], "id string, contexte_clinique string, split string")
+    (row,) = SplitOverlap(df).overlaps().collect()
+    assert (row["id_eval"], row["id_train"]) == ("a", "b") and row["couverture"] > 0.6
+
+
+def test_coverage_is_no_veto(spark):
+    """The same words in an order that leaves no chain to speak of."""
+    base = [f"mot{i}" for i in range(120)]
+    df = spark.createDataFrame([("a", " ".join(base), "test"), ("b", " ".join(base[::-1] + ["fin"]), "train")], "id string, contexte_clinique string, split string")
+    assert SplitOverlap(df).found().count() == 1
