@@ -45,8 +45,6 @@ WHOLE = re.compile(r"[.!?»”\"\]}]['’)\s]*$|[.!?][»”\")\]]*\s*$|--\s*$|==
 SEGMENT = re.compile(r"[^.!?\n]*$")
 #: Longest piece that can be a formula; texts that must end with it; most that may go on from it.
 LONGEST, TIMES, GO_ON = 60, 2, 0.25
-#: Lengths above this are counted in bins of a sixteenth.
-FINE = 1 << 14
 SHAPE = "doc_id bigint, source string, chars int, bytes int, whole boolean, mark boolean, segment string, texte bigint"
 LIMITS = "source string, unite string, limite int, n bigint, attendu double, posterieur double, mu double, sigma double, n_textes bigint"
 
@@ -116,6 +114,12 @@ def expected_at(length: np.ndarray, mu: float, sigma: float, n: float) -> np.nda
     return n * np.exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi) * np.maximum(length, 1))
 
 
+def around(length: np.ndarray, count: np.ndarray, reach: int) -> np.ndarray:
+    """For each of the rising lengths the texts up to ``reach`` away."""
+    upto = np.r_[0.0, np.cumsum(count)]
+    return upto[np.searchsorted(length, length + reach, "right")] - upto[np.searchsorted(length, length - reach, "left")]
+
+
 def source_limits(pdf: pd.DataFrame, least: int = 5, excess: float = 6.0) -> list[dict]:
     """Candidate limits of one source from its histogram of lengths of one unit.
 
@@ -131,7 +135,7 @@ def source_limits(pdf: pd.DataFrame, least: int = 5, excess: float = 6.0) -> lis
     for _ in range(8):
         mu, sigma = fit_censored(length, count, censored)
         whole = n - count[censored].sum()
-        near = np.array([count[(np.abs(length - v) <= 40) & (np.abs(length - v) > 3) & ~censored].sum() / 74 for v in length]) if len(length) < 20_000 else np.zeros(len(length))
+        near = (around(length, count * ~censored, 40) - around(length, count * ~censored, 3)) / 74
         expected = np.maximum(expected_at(length, mu, sigma, max(whole, 1.0)), near)
         now = censored | ((count >= least) & (count > excess * np.maximum(expected, 0.25)))
         if (now == censored).all():
@@ -147,9 +151,8 @@ def limits(shaped: DataFrame) -> DataFrame:
     """The candidate limits of all sources, as ``LIMITS``."""
     at = F.explode(F.array(F.struct(F.lit("caracteres").alias("unite"), F.col("chars").alias("length")), F.struct(F.lit("octets").alias("unite"), F.col("bytes").alias("length"))))
     long = shaped.select("source", at.alias("a")).select("source", "a.*")
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest("length", F.lit(1)))) - 4).cast("int"))
-    cell = F.when(F.col("length") <= FINE, F.col("length")).otherwise((F.col("length") / step).cast("int") * step)
-    counts = long.groupBy("source", "unite", cell.alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    # exact lengths, of which there are at most as many as the longest text has bytes
+    counts = long.groupBy("source", "unite", "length").agg(F.count(F.lit(1)).alias("n"))
 
     def per_source(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = source_limits(pdf)

@@ -59,3 +59,12 @@ def test_table(spark):
 def test_empty(spark):
     t = T.Truncation(spark.createDataFrame([], "doc_id bigint, text string, source string"))
     assert t.found().count() == 0 and t.rates().count() == 0
+
+
+def test_limits_of_long_texts_are_exact(spark):
+    r = random.Random(9)
+    sizes = [20_000] * 40 + [r.randrange(12_000, 19_990) for _ in range(160)]
+    rows = [(k, ("mot " * 5000)[: n - 1] + ("x" if n == 20_000 else "."), "longs") for k, n in enumerate(sizes)]
+    t = T.Truncation(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {x["limite"] for x in T.limits(t.shaped).collect()} == {20_000}
+    assert t.rates().first()["n_a_la_limite"] == 40
