@@ -42,10 +42,17 @@ CLOSERS = (
     r"|(?:best |kind |warm )?regards|sincerely|yours(?: (?:sincerely|faithfully|truly))?|cheers|(?:many )?thanks(?: a lot| again| in advance)?|thank you"
 )
 WHOLE = re.compile(r"[.!?»”\"\]}]['’)\s]*$|[.!?][»”\")\]]*\s*$|--\s*$|==\s*$|\*\*\s*$")
+CLOSING = re.compile(r"[»”\"\]})'’\s]*$")
+#: Abbreviations that stand before something.
+ABBREVIATED = re.compile(r"(?:^|[\s(])(?:dr|pr|mme|mlle|mr|mrs|ms|st|ste|cf|env|ex|fig|vs|e\.g|i\.e)\.$", re.I)
 SEGMENT = re.compile(r"[^.!?\n]*$")
 #: Longest piece that can be a formula; texts that must end with it; most that may go on from it.
 LONGEST, TIMES, GO_ON = 60, 2, 0.25
-SHAPE = "doc_id bigint, source string, chars int, bytes int, whole boolean, mark boolean, segment string, texte bigint"
+#: Log-odds of being cut by the ending: a cut mark, a whole ending, one that also stands inside a sentence, a closing formula, anything else.
+#: The posterior, between FLOOR and CEILING (log-odds -2.2 to 9.2), outweighs only the ending inside a sentence.
+MARKED, CLOSED, OPEN, FORMULA, BROKEN = 6.0, -10.0, -4.0, -10.0, 4.0
+FLOOR, CEILING = 0.1, 0.9999
+SHAPE = "doc_id bigint, source string, chars int, bytes int, whole boolean, mark boolean, segment string, inside boolean, texte bigint"
 LIMITS = "source string, unite string, limite int, n bigint, attendu double, posterieur double, mu double, sigma double, n_textes bigint"
 
 
@@ -65,6 +72,16 @@ def shape(text: str) -> tuple[bool, bool, str]:
     return False, bool(m), " ".join(fold(SEGMENT.search(body)[0]).split())
 
 
+def inside(text: str) -> bool:
+    """Whether an ending that looks whole also stands inside a sentence: a
+    quotation or bracket without a sentence mark, or an abbreviation."""
+    t = text[-200:].rstrip()
+    at = CLOSING.search(t).start()
+    if at == len(t):
+        return bool(ABBREVIATED.search(t))
+    return "]]" not in t[at:] and t[:at][-1:] not in ".!?"
+
+
 def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, sources, texts = (c.to_pylist() for c in b.columns)
@@ -76,6 +93,7 @@ def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([len(t) for t in texts], pa.int32()),
                 pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int32()),
                 *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.bool_(), pa.bool_(), pa.string()))),
+                pa.array([inside(t) for t in texts], pa.bool_()),
                 pa.array([xxhash.xxh3_64_intdigest(t.strip().encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64()),
             ],
             names=[c.split()[0] for c in SHAPE.split(", ")],
@@ -217,8 +235,11 @@ class Truncation:
         rows = self.shaped.join(found, "segment", "left").join(per["caracteres"], ["source", "chars"], "left").join(per["octets"], ["source", "bytes"], "left")
         closer = F.col("segment").rlike(rf"^(?:{CLOSERS})\W*$")
         complete = F.coalesce("formule", F.lit(False)) | closer
-        p = F.least(F.lit(0.99), F.greatest(F.lit(0.1), F.coalesce(F.greatest("p_chars", "p_bytes"), F.lit(0.0))))
-        ending = F.when(F.col("mark") & ~F.col("whole") & ~complete, 6.0).when(F.col("whole"), -8.0).when(complete, -5.5).otherwise(4.0)
+        p = F.least(F.lit(CEILING), F.greatest(F.lit(FLOOR), F.coalesce(F.greatest("p_chars", "p_bytes"), F.lit(0.0))))
+        ending = (
+            F.when(F.col("mark") & ~F.col("whole") & ~complete, MARKED).when(F.col("whole") & F.col("inside"), OPEN)
+            .when(F.col("whole"), CLOSED).when(complete, FORMULA).otherwise(BROKEN)
+        )
         return rows.withColumn("p_limite", p).withColumn("fin", ending).withColumn("log_odds", F.log(p / (1 - p)) + F.col("fin")).select(
             "doc_id", "source", "chars", "bytes", "whole", "mark", "segment", "p_limite", "fin", "log_odds"
         )

@@ -68,3 +68,20 @@ def test_limits_of_long_texts_are_exact(spark):
     t = T.Truncation(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     assert {x["limite"] for x in T.limits(t.shaped).collect()} == {20_000}
     assert t.rates().first()["n_a_la_limite"] == 40
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Il a dit « oui »", True), ("Vu hier (bilan)", True), ("Adressé par le Dr.", True), ("Il dit « oui. »", False), ("Tout va bien.", False), ("Bien.)", False), ("Ok ?\n[[PRIORITE:moderee]]", False), ("Tout va b", False)],
+)
+def test_endings_inside_a_sentence(text, want):
+    assert T.inside(text) == want
+
+
+def test_limit_outweighs_a_quotation(spark):
+    r = random.Random(3)
+    rows = [(k, ("mot " * 100)[:299] + "x", "s") for k in range(300)]
+    rows += [(1000 + k, ("mot " * 100)[: r.randrange(40, 290)] + "x.", "s") for k in range(300)]
+    rows += [(2000, ("mot " * 100)[:293] + "« oui »", "s"), (2001, "Il a répondu « oui »", "s"), (2002, ("mot " * 100)[:299] + ".", "s")]
+    got = {x["doc_id"] for x in T.Truncation(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).found().collect()}
+    assert got == {*range(300), 2000}
