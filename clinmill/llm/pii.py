@@ -9,7 +9,7 @@ neighbours can ever change, that label is certain; Viterbi runs only on the
 stretches between such tokens, many at a time, in numpy, with the same result.
 
 A check of each place follows: a telephone number has digits enough, an
-address a number and a street, a name more than an initial.
+address a number and a street or, where it begins with one, any word, a name more than an initial.
 """
 
 from __future__ import annotations
@@ -247,6 +247,9 @@ def model() -> Crf:
 _MAIL = re.compile(r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\[\s?at\s?\]|\(\s?at\s?\)|\{at\}|\barobase\b|\bat\b)\s?[\w\-]+(?:\.[\w\-]+)+", re.I)
 _STREET = re.compile(r"\d+\s*(?:bis|ter|quater|[a-d]\b)?\s*,?\s+(?:" + "|".join(sorted(STREETS, key=len, reverse=True)) + r")\b", re.I)
 
+#: A house number and a word, whatever the street is called.
+_HOUSE = re.compile(r"\d{1,4}\s*(?:bis|ter|quater|[a-d]\b)?\s*,?\s+[^\W\d_]{2,}", re.I)
+
 
 def checked(text: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
     """The place with its exact bounds, or null if it can't be of its kind."""
@@ -277,7 +280,9 @@ def checked(text: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
     if kind == "adresse":
         m = _STREET.search(text, max(0, a - 12), b + 20)
         if not m or m.start() > b:
-            return None
+            m = _HOUSE.search(text, a, b)
+            if not m or m.start() > a + 2:
+                return None
         start = m.start()
         while start and text[start - 1].isdigit():
             start -= 1

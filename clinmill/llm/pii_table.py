@@ -19,7 +19,7 @@ GIVEN = (
 STREETS = "rue avenue av boulevard bd chemin impasse allée place quai route cours square sentier passage faubourg voie ruelle esplanade rond-point lotissement résidence".split()
 CIVILITIES = "m mr mme mlle madame monsieur mademoiselle dr pr docteur professeur docteure maître mrs ms miss".split()
 
-# Written for training. Slots: {NOM} {FAM} {INI} {TEL} {MEL} {ID9} {IPP} {PAS} {CNI} {ADR} {ADRV};
+# Written for training. Slots: {NOM} {FAM} {INI} {TEL} {MEL} {ID9} {IPP} {PAS} {CNI} {ADR} {ADRV} {ADE};
 # neutral fillers: <ville> <med> <n> <n2> <d1> <lot> <proto> <maladie> <eponyme> <fonction> <ini>.
 POSITIVE = """
 Dossier au nom de {NOMI}, transmis par le cabinet.
@@ -45,6 +45,10 @@ Sa tutrice, {NOM}, reste joignable.
 Lettre rédigée puis signée {INI}.
 Ordonnance signée {INI}. Elle repart à pied.
 The caller gives the name {NOM} for the file.
+Home address: {ADE}.
+Collected from {ADE}.
+Lives at {ADE} with a friend.
+Address on file: {ADE}, phone {TEL}.
 N° SS : {ID9}.
 {NOM}, présent à l'accueil, a tout vu.
 {NOM} a signé la décharge.
@@ -227,6 +231,10 @@ _DRUG_END = "mycine zole pril tidine oxane amil azel étol focine uvar idrex ipa
 _EPONYM = "ski mann berg vic lène son thier let lac ric kado sen er in sone evelt".split()
 _STREET_NAMES = "des Tilleuls-Gris|du Vieux-Lavoir|de la Croix-Penchée|des Sabotiers-Noirs|du Chêne-Creux|de l'Étang-Perdu|des Alouettes|de la Source|du Four-Banal|des Lanternes|de la République|Victor Hugo|du Moulin|des Trois-Meuniers|Jean Jaurès|de la Gare|du Général-Roux|de l'Église|des Lilas|Pasteur|du Puits-Fendu|de la Grange-Ronde|des Cordiers-Bleus|aux Herbes"
 
+_ENGLISH_START = "Ash Oak Brook Mill Thorn Elder Fern Hazel Marsh Bell Raven Linden Cinder Harrow Cobble Wind Lark Copper".split()
+_ENGLISH_END = "field well ford gate wood dale ham bury leigh side more croft worth bank".split()
+_ENGLISH_STREETS = ["Street"] * 4 + ["Road"] * 4 + "Avenue Lane Drive Close Way Court Place Square Terrace Crescent Gardens Row Hill Grove Walk St Rd Ave".split()
+
 
 class Filler:
     """Invented values for the slots, from one seed."""
@@ -277,6 +285,13 @@ class Filler:
         out = no + r.choice([" ", " ", ", "]) + street + " " + r.choice(_STREET_NAMES.split("|"))
         return out + r.choice(["", "", ", {} {}", " {} {}", " - {} {}"]).format(self.digits(5), self.town())
 
+    def english_address(self) -> str:
+        r = self.r
+        no = str(r.randrange(1, 220)) + r.choice(["", "", "", "A", "b"])
+        name = r.choice(_ENGLISH_START) + r.choice(_ENGLISH_END)
+        out = no + r.choice([" ", " ", " ", ", "]) + r.choice(["", "", "", "Old ", "Upper "]) + name + " " + r.choice(_ENGLISH_STREETS)
+        return out + r.choice(["", ", {}", ", {}"]).format(self.town())
+
     def slot(self, kind: str) -> tuple[str, str]:
         r = self.r
         if kind == "NOM":
@@ -301,6 +316,8 @@ class Filler:
             return self.digits(2) + "".join(r.choice("ABCDFKTVXZ") for _ in "..") + self.digits(5), "identite"
         if kind == "CNI":
             return r.choice([self.digits(4) + "".join(r.choice("QWXZKT") for _ in "..") + self.digits(6), self.digits(12), "X" + self.digits(4) + "RT" + self.digits(3)]), "identite"
+        if kind == "ADE":
+            return self.english_address(), "adresse"
         return self.address(), "adresse"
 
     def neutral(self, name: str) -> str:

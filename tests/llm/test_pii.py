@@ -68,3 +68,17 @@ def test_tables(spark):
     out = [tuple(r) for r in P.redacted(df).collect()]
     assert len(out) == 5 and ("vignette", "a", "Courriel : [COURRIEL], sans réponse ce jour.") in out and ("vignette", "b", None) in out
     assert P.places(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "start"),
+    [
+        ("He feels better. Home address: 24 Mossbridge Street, Boisulville. Symptoms began on a Thursday.", "24 Mossbridge"),
+        ("Oxygen saturation 97 percent. Collected from 138 Hollowmere Road, Montulvac. A friend describes a similar rash.", "138 Hollowmere"),
+        ("Lives at 7 Quarrystone Lane with a friend.", "7 Quarrystone"),
+        ("A 24 Hour tape was fitted on Ward 12 and sodium was 138 on Thursday.", None),
+    ],
+)
+def test_english_addresses(tagger, text, start):
+    got = [a for k, a, _ in tagger([text])[0] if k == "adresse"]
+    assert got == ([text.index(start)] if start else [])
