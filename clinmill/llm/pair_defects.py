@@ -31,6 +31,8 @@ FOUND = "paire_id bigint, champ string, defaut string"
 SAMPLE, CUTS = 2000, 3
 #: Compressed with its prompt a copy takes at most this share of its size alone.
 COPY_RATIO = 0.55
+#: Bytes of frame and block headers in any compressed text.
+OVERHEAD = 9
 #: Least share of words of answer and question that a copy has in common, in order.
 COPY_WORDS = 0.75
 
@@ -148,23 +150,27 @@ def declines(answer: str) -> bool:
 
 
 def compressed_ratio(answer: str, prompt: str) -> float:
-    """Size of the compressed answer with the prompt as dictionary, to its size without."""
+    """Size of the compressed answer with the prompt as dictionary, to its size without; headers don't count."""
     raw = answer.lower().encode()
     alone = len(zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=False).compress(raw))
     known = zstandard.ZstdCompressionDict(prompt.lower().encode() or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return len(zstandard.ZstdCompressor(level=6, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw)) / max(alone, 1)
+    given = len(zstandard.ZstdCompressor(level=6, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
+    return (given - OVERHEAD) / max(alone - OVERHEAD, 1)
 
 
 def copies(answer: str, prompt: str, last: str) -> bool:
     """Whether an answer gives back the prompt or the last message and no more.
 
     The words of both must align to ``COPY_WORDS`` of either; up to three words
-    that introduce the copy don't count.
+    that introduce the copy don't count.  Targets of one or two words count
+    only if the answer has the very same.
     """
     body = _TAG.sub(" ", answer)
+    said = words(body)
+    if said and said in (words(last), words(prompt)):
+        return True
     if compressed_ratio(body, prompt + "\n" + last) > COPY_RATIO:
         return False
-    said = words(body)
     for target in {last, prompt}:
         asked = words(target)
         if len(asked) < 3:

@@ -49,3 +49,9 @@ def test_table(spark):
     assert {tuple(r) for r in found.where("paire_id < 10").collect()} == {(1, "chosen", "copie_question"), (2, "chosen", "vide"), (2, "rejected", "vide")}
     assert P.report(found, df).count() >= 3
     assert P.defects(df.limit(0)).count() == 0
+
+
+def test_copies_of_short_messages():
+    for message in ("J'ai mal au ventre", "Bonjour docteur", "Fièvre"):
+        assert P.copies(message.upper() + " !", "Question.", message)
+    assert not P.copies("Reposez-vous", "Question.", "Bonjour docteur") and P.compressed_ratio("J'ai mal au ventre", "J'ai mal au ventre") < P.COPY_RATIO
