@@ -4,9 +4,9 @@ Texts are compared by their distinct words: runs of letters and digits, lower
 case, without accents.  Two texts are near duplicates if the words of both
 divided by the words of either reach ``tenths`` / 10.
 
-Exact copies (texts with the same words) are one class from the start.  All
-pairs of classes are tested by the bounds of ``nearjoin``, which lose none;
-every pair that is left is compared exactly.
+Exact copies (texts with the same words) are one class from the start.  Pairs of
+classes come from the vertically partitioned join of ``nearjoin``, whose summed
+partial overlaps lose none; the pairs that they leave are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,17 +21,16 @@ from pyspark.sql import functions as F
 
 from clinmill.llm import nearjoin
 from clinmill.llm.components import connected
+from clinmill.llm.nearjoin import binaries, flat, rows_of
 from clinmill.llm.shingles import Folding, distinct, mixed, split_words
 from clinmill.runtime import cut
 
 #: Texts that are worked on at a time, so that arrays stay in the caches.
 CHUNK = 512
-PREPARED = "id string, h bigint, nw int, bits binary, words string"
-
-
-def batch(schema: str, *columns: np.ndarray | list | pa.Array) -> pa.RecordBatch:
-    """A record batch with the names of a schema string."""
-    return pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns], names=[c.split()[0] for c in schema.split(", ")])
+PREPARED = "id string, h bigint, nw int, bits binary, values binary, words string"
+CLASS_PAIRS = "h1 bigint, h2 bigint, common int, either int"
+#: Keys that one key's rows are spread over where copies are paired.
+SALTS = 16
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[list[list]]:
@@ -41,11 +40,11 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[lis
             yield [c.to_pylist() for c in b.slice(at, size).columns]
 
 
-def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to the columns of ``PREPARED``; texts without a word give no row."""
+def prepare(batches: Iterator[pa.RecordBatch], strings: bool = True) -> Iterator[pa.RecordBatch]:
+    """(id, text) to the columns of ``PREPARED`` (``words`` only with ``strings``); texts without a word give no row."""
     folding = Folding()
     for ids, texts in chunks(batches):
-        w = split_words(texts, folding)
+        w = split_words(texts, folding, strings=strings)
         doc, value = distinct(w.doc, w.hashes)
         n = len(texts)
         spread = mixed(value)
@@ -54,16 +53,41 @@ def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nw = np.bincount(doc, minlength=n)
         maps = nearjoin.bitmaps(doc, spread, nw)
         has = np.flatnonzero(w.lengths)
-        yield batch(
+        yield rows_of(
             PREPARED,
             [ids[i] for i in has.tolist()],
             h[has].view(np.int64),
             nw[has].astype(np.int32),
             pa.array([maps[i] for i in has.tolist()], pa.binary()),
-            [w.texts[i] for i in has.tolist()],
+            binaries(value, nw[has]),
+            pa.array([w.texts[i] for i in has.tolist()] if strings else [None] * len(has), pa.string()),
         )
 
 
+def compare(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, words of both as 48-bit hashes) to ``CLASS_PAIRS``, at the threshold."""
+    for b in batches:
+        for at in range(0, b.num_rows, CHUNK):
+            some = b.slice(at, CHUNK)
+            (v1, n1), (v2, n2) = flat(some.column(2)), flat(some.column(3))
+            row = np.r_[np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)]
+            code = np.sort((row.astype(np.uint64) << np.uint64(48)) | np.r_[v1, v2])
+            twice = code[1:][code[1:] == code[:-1]]
+            common = np.bincount((twice >> np.uint64(48)).astype(np.int64), minlength=len(n1))
+            either = n1 + n2 - common
+            keep = common * 10 >= either * tenths
+            h1, h2 = (some.column(k).to_numpy()[keep] for k in range(2))
+            yield rows_of(CLASS_PAIRS, h1, h2, common[keep].astype(np.int32), either[keep].astype(np.int32))
+
+
+def copies(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` and ``right`` of one ``h``; each key of ``right`` is met
+    in ``SALTS`` places, so that no task pairs all copies of a text."""
+    one = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    two = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return one.join(two, ["h", "salt"]).drop("salt")
+
+
 class NearDuplicates:
     """The near-duplicate classes and pairs of the texts of a table.
 
@@ -76,7 +100,7 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, id_col: str = "id", text_col: str = "contexte_clinique", tenths: int = 7) -> None:
         self.tenths = tenths
         given = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-        self.prepared = given.mapInArrow(prepare, PREPARED).persist(StorageLevel.MEMORY_AND_DISK)
+        self.prepared = given.mapInArrow(lambda it: prepare(it, strings=False), PREPARED).drop("words").persist(StorageLevel.MEMORY_AND_DISK)
         self.members = self.prepared.select("id", "h").distinct()
 
     def release(self) -> None:
@@ -84,24 +108,19 @@ class NearDuplicates:
 
     def class_pairs(self) -> DataFrame:
         """Pairs (h1, h2) of different texts at or above the threshold: words of both, words of either."""
-        sizes = self.prepared.select("h", "nw", "bits", F.lit(0).alias("side")).dropDuplicates(["h"])
-        pairs = cut(nearjoin.candidates(sizes, self.tenths))
+        t = self.tenths
+        texts = self.prepared.select("h", "nw", F.lit(0).alias("side"), "bits", "values").dropDuplicates(["h"])
+        pairs = cut(nearjoin.candidates(texts, t))
         keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
-        text = nearjoin.only(self.prepared.select("h", "words"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
-        one, two = (text.select(F.col("h").alias(f"h{k}"), F.col("words").alias(f"w{k}")) for k in (1, 2))
-        sets = (F.array_distinct(F.split(f"w{k}", " ")).alias(f"w{k}") for k in (1, 2))
-        common = F.size(F.array_intersect("w1", "w2"))
-        return (
-            pairs.join(one, "h1").join(two, "h2").select("h1", "h2", *sets)
-            .select("h1", "h2", common.alias("common"), (F.size("w1") + F.size("w2") - common).alias("either"))
-            .where(F.col("common") * 10 >= F.col("either") * self.tenths)
-        )
+        text = nearjoin.only(self.prepared.select("h", "values"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
+        one, two = (text.select(F.col("h").alias(f"h{k}"), F.col("values").alias(f"v{k}")) for k in (1, 2))
+        return pairs.join(one, "h1").join(two, "h2").select("h1", "h2", "v1", "v2").mapInArrow(lambda it: compare(it, t), CLASS_PAIRS)
 
     def pairs(self) -> DataFrame:
         """All pairs of ids (id_1 < id_2) of near-duplicate or identical texts."""
         m1, m2 = (self.members.select(F.col("id").alias(f"i{k}"), F.col("h").alias(f"h{k}")) for k in (1, 2))
         across = self.class_pairs().join(m1, "h1").join(m2, "h2").where("i1 <> i2")
-        within = m1.join(m2, (F.col("h1") == F.col("h2")) & (F.col("i1") < F.col("i2")))
+        within = copies(m1.withColumnRenamed("h1", "h"), m2.withColumnRenamed("h2", "h")).where("i1 < i2")
         found = across.select("i1", "i2").unionByName(within.select("i1", "i2"))
         return found.select(F.least("i1", "i2").alias("id_1"), F.greatest("i1", "i2").alias("id_2")).distinct()
 

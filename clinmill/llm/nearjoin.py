@@ -1,40 +1,79 @@
-"""Candidate pairs of near-equal texts: every pair is tested, none is looked up.
+"""Candidate pairs of near-equal texts by a vertically partitioned set join.
 
-Two bounds hold for any pair that reaches the Jaccard threshold: the numbers of
-distinct words, and the Hamming distance of the parity bitmaps of the words,
-which never exceeds the number of words in which two texts differ.  All pairs
-that the lengths allow are tested by the bitmaps, so no pair is lost, whatever
-the edits and however large the groups of copies.
+All words have one global order, the rarest first.  A pair that reaches the
+Jaccard threshold shares a word among the first words of both (the prefixes), and
+no more words than the threshold allows stand before the first one it shares.
 
-Texts are ordered by length and cut into blocks; each pair of blocks is one
-group of a shuffle.  Up to 16 million texts there are at most some ``BLOCKS``
-blocks, so what is shuffled grows with the texts; the tests grow with their square.
+The order is cut into *fragments*: ranges with about equally many prefix words.
+Each text sends each fragment the segment of its prefix that falls into it.
+Inside a fragment, texts that share a word are compared by the bounds of length,
+position and parity bitmap; for the pairs that are left the words that both
+segments have and those that only one has are counted.  These partial counts are
+summed per pair over the fragments, and a pair whose sums already hold more
+differences than the threshold allows is dropped.  Every step is a bound that
+holds for all pairs at the threshold, so none is lost.
+
+A word whose segments are more than a fragment may hold is split: its texts fall
+into parts by hash, and each two parts meet in a group of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Sets of up to this many keys are broadcast; beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
-#: Blocks that the texts are cut into, and texts of a block at least and at most.
-BLOCKS, BLOCK_LEAST, BLOCK_MOST = 16, 1024, 1 << 20
-#: Texts on a side that are tested at a time, so that arrays stay in the caches.
-TILE = 512
+#: Words are ordered by the frequency of one of so many hash buckets (a table of fixed size).
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
+#: Bits of an ordered word below its bucket's rank; words are hashes of 48 bits.
+BELOW = 48 - BUCKET_BITS
+#: Prefix words that one group of a fragment holds.
+SEGMENTS = 1 << 18
+#: Lists of up to this many texts are paired by index, longer ones in tiles of TILE texts.
+SHORT_LIST, TILE = 32, 384
 #: Least width of a bitmap in bits.
 NARROWEST = 128
 ONE, TWO = 1, 2
-PAIRS = "h1 bigint, h2 bigint"
+ORDERED = "h bigint, nw int, side int, bits binary, prefix binary"
+SEGMENT = "grp bigint, h bigint, nw int, side int, part int, start int, ends boolean, bits binary, words binary"
+PARTIAL = "h1 bigint, h2 bigint, n1 int, n2 int, common int, only1 int, only2 int"
+
+
+def rows_of(schema: str, *columns: np.ndarray | list | pa.Array) -> pa.RecordBatch:
+    """A record batch with the names of a schema string."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
+
+
+def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Runs of a flat array as binary values."""
+    ends = np.r_[0, np.cumsum(lengths)] * values.itemsize
+    if ends[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    flat = values.tobytes()
+    return pa.array([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+
+
+def flat(column: pa.Array | pa.ChunkedArray, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column end to end, and how many each row has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.array([len(p) for p in parts], np.int64) // np.dtype(kind).itemsize
+
+
+def within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each run of the given lengths."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
 def widths(nw: np.ndarray) -> np.ndarray:
-    """Bits of the bitmaps of texts with ``nw`` words: the power of two at or above twice that."""
-    return np.maximum(NARROWEST, 1 << np.ceil(np.log2(2 * np.maximum(nw, 1))).astype(np.int64))
+    """Bits of the bitmaps of texts with ``nw`` words: a power of two, at least 1.5 a word."""
+    return np.maximum(NARROWEST, 1 << np.ceil(np.log2(1.5 * np.maximum(nw, 1))).astype(np.int64))
 
 
 def bitmaps(doc: np.ndarray, values: np.ndarray, nw: np.ndarray) -> list[bytes]:
@@ -63,113 +102,279 @@ def folded(maps: np.ndarray, words: int) -> np.ndarray:
     return maps
 
 
-def tiles(h: np.ndarray, nw: np.ndarray, maps: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts in the order of length, cut where the width of the bitmaps changes."""
-    order = np.argsort(nw, kind="stable")
-    width = widths(nw[order])
-    out = []
-    for bits in np.unique(width).tolist():
-        same = order[width == bits]
-        for at in range(0, len(same), TILE):
-            some = same[at : at + TILE]
-            out.append((h[some], nw[some].astype(np.int64), np.frombuffer(b"".join(maps[i] for i in some.tolist()), np.uint64).reshape(len(some), -1)))
+def least_common(n1: np.ndarray, n2: np.ndarray, tenths: int) -> np.ndarray:
+    """Words that texts of ``n1`` and ``n2`` words have in common at the threshold, at least."""
+    return -((-(n1 + n2) * tenths) // (10 + tenths))
+
+
+def prefix_lengths(nw: np.ndarray, tenths: int) -> np.ndarray:
+    """Words at the front of the order of which a pair at the threshold shares one."""
+    return nw + (-nw * tenths) // 10 + 1
+
+
+def keys_of(values: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """48-bit words as numbers that rise along the global order; no two words become one."""
+    return (rank[(values & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(BELOW)) | (values >> np.uint64(BUCKET_BITS))
+
+
+def bucket_counts(rows: DataFrame, column: str, bucket: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each bucket occurs; each task sends at most ``BUCKETS`` counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            total += np.bincount(bucket(flat(b.column(0))[0]), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield rows_of("bucket int, n bigint", some.astype(np.int32), total[some])
+
+    out = np.zeros(BUCKETS, np.int64)
+    counted = rows.select(column).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    out[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     return out
 
 
-def tested(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], tenths: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in tile ``a``, in tile ``b``) of the pairs that lengths and bitmaps allow.
+def cut_order(postings: np.ndarray, most: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """Fragment of each rank, and the parts that each fragment's texts fall into:
+    more than one only where a single bucket has more than ``most`` postings."""
+    fragment = np.zeros(len(postings), np.int32)
+    parts, held = [1], 0
+    for r, n in enumerate(postings.tolist()):
+        if held and (held + n > most or parts[-1] > 1):
+            parts.append(1)
+            held = 0
+        held += n
+        if held > most:
+            parts[-1] = -(-held // most)
+        fragment[r] = len(parts) - 1
+    return fragment, np.array(parts, np.int64)
 
-    All pairs are tested by bitmaps of half the width and the bound of the
-    longest of each tile, what is left by the whole width and its own bound.
-    """
-    (_, na, ma), (_, nb, mb) = a, b
-    words = min(ma.shape[1], mb.shape[1])
-    kind = np.uint8 if words <= 8 else np.uint32
-    x, y = (np.ascontiguousarray(folded(m, words // 2).T) for m in (ma, mb))
-    differ = np.bitwise_count(x[0][:, None] ^ y[0][None, :]).astype(kind, copy=False)
-    for k in range(1, words // 2):
-        differ += np.bitwise_count(x[k][:, None] ^ y[k][None, :])
-    # a count of 256 that wraps to 0 only lets its pair go on to the next test
-    most = (int(na[-1]) + int(nb[-1])) * (10 - tenths) // (10 + tenths)
-    i, j = np.nonzero(differ <= kind(min(most, np.iinfo(kind).max)))
-    near = (na[i] * 10 >= nb[j] * tenths) & (nb[j] * 10 >= na[i] * tenths)
-    i, j = i[near], j[near]
-    ok = [np.empty(0, bool)]
-    x, y = folded(ma, words), folded(mb, words)
-    step = max(1, (1 << 20) // words)
-    for at in range(0, len(i), step):
-        p, q = i[at : at + step], j[at : at + step]
-        ok.append(np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64) * (10 + tenths) <= (na[p] + nb[q]) * (10 - tenths))
-    keep = np.concatenate(ok)
-    return i[keep], j[keep]
-
-
-def block_pairs(table: pa.Table, tenths: int, b1: int, b2: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(h1, h2) of the pairs across blocks ``b1`` and ``b2``, or within the one
-    if they are the same, of a table with the columns of ``candidates`` and ``block``."""
-    h, nw, side, block = (table.column(c).to_numpy() for c in ("h", "nw", "side", "block"))
-    maps = table.column("bits").to_pylist()
-
-    def cut_of(b: int, s: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        own = np.flatnonzero((block == b) & (side & s != 0))
-        return tiles(h[own], nw[own], [maps[i] for i in own.tolist()])
-
-    alike = bool((side == 0).all())
-    if alike:
-        side = np.full(len(side), ONE)
-        todo = [(b1, ONE, b2, ONE)]
-    else:
-        todo = [(b, ONE, c, TWO) for b, c in {(b1, b2), (b2, b1)}]
-    for b, s, c, t in todo:
-        left = cut_of(b, s)
-        right = left if alike and b == c else cut_of(c, t)
-        for m, one in enumerate(left):
-            for two in right[m:] if alike and b == c else right:
-                if one[1][-1] * 10 < two[1][0] * tenths or two[1][-1] * 10 < one[1][0] * tenths:
+
+class Group:
+    """The segments of one group of a fragment."""
+
+    def __init__(self, table: pa.Table, tenths: int) -> None:
+        self.tenths = tenths
+        self.h, self.n, self.side, self.part, start, self.ends = (table.column(c).to_numpy() for c in ("h", "nw", "side", "part", "start", "ends"))
+        self.n = self.n.astype(np.int64)
+        words, self.own = flat(table.column("words"))
+        self.row = np.repeat(np.arange(len(self.h)), self.own)
+        self.pos = np.repeat(start.astype(np.int64), self.own) + within(self.own)
+        self.known, self.word = np.unique(words, return_inverse=True)
+        self.first = np.cumsum(self.own) - self.own
+        width = widths(self.n)
+        maps = table.column("bits").to_pylist()
+        self.width, self.maps, self.slot = width, {}, {}
+        kinds = np.unique(width).tolist()
+        for bits in kinds:
+            self.slot[bits] = np.full(len(self.h), -1)
+            held = [np.zeros((0, bits // 64), np.uint64)]
+            at = 0
+            for wide in (b for b in kinds if b >= bits):
+                some = np.flatnonzero(width == wide)
+                held.append(folded(np.frombuffer(b"".join(maps[i] for i in some.tolist()), np.uint64).reshape(len(some), -1), bits // 64))
+                self.slot[bits][some] = np.arange(at, at + len(some))
+                at += len(some)
+            self.maps[bits] = np.concatenate(held)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of rows differ in no more bits than the threshold allows."""
+        ok = np.zeros(len(x), bool)
+        bits = np.minimum(self.width[x], self.width[y])
+        most = self.n[x] + self.n[y] - 2 * least_common(self.n[x], self.n[y], self.tenths)
+        for b in np.unique(bits).tolist():
+            some = np.flatnonzero(bits == b)
+            m, s = self.maps[b], self.slot[b]
+            for at in range(0, len(some), (1 << 22) // b):
+                k = some[at : at + (1 << 22) // b]
+                ok[k] = np.bitwise_count(m[s[x[k]]] ^ m[s[y[k]]]).sum(axis=1, dtype=np.int64) <= most[k]
+        return ok
+
+    def allowed(self, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether words at places i and j can be the first that rows x and y share."""
+        need = least_common(self.n[x], self.n[y], self.tenths)
+        return (i <= self.n[x] - need) & (j <= self.n[y] - need)
+
+    def tiled(self, rows: np.ndarray, cols: np.ndarray, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Near pairs of two lists of postings of one word, tile by tile."""
+
+        def tiles(at: np.ndarray) -> list[np.ndarray]:
+            r = self.row[at]
+            at = at[np.argsort(self.n[r], kind="stable")]
+            w = self.width[self.row[at]]
+            out = []
+            for bits in np.unique(w).tolist():
+                same = at[w == bits]
+                out += [same[k : k + TILE] for k in range(0, len(same), TILE)]
+            return out
+
+        left = tiles(rows)
+        right = left if triangle else tiles(cols)
+        bounds = [(self.n[self.row[t[0]]], self.n[self.row[t[-1]]]) for t in right]
+        for k, a in enumerate(left):
+            xa = self.row[a]
+            lo, hi = self.n[xa[0]], self.n[xa[-1]]
+            for m in range(k if triangle else 0, len(right)):
+                if hi * 10 < bounds[m][0] * self.tenths or bounds[m][1] * 10 < lo * self.tenths:
                     continue
-                i, j = tested(one, two, tenths)
-                h1, h2 = one[0][i], two[0][j]
-                if not alike:
-                    keep = h1 != h2
-                elif b == c and one[0] is two[0]:
-                    keep = h1 < h2
-                else:
-                    keep, h1, h2 = np.ones(len(h1), bool), np.minimum(h1, h2), np.maximum(h1, h2)
+                b = right[m]
+                yb = self.row[b]
+                p = a[self.pos[a] <= self.n[xa] - least_common(self.n[xa], bounds[m][0], self.tenths)]
+                q = b[self.pos[b] <= self.n[yb] - least_common(self.n[yb], lo, self.tenths)]
+                if not len(p) or not len(q):
+                    continue
+                x, y = self.row[p], self.row[q]
+                bits = int(min(self.width[x[0]], self.width[y[0]]))
+                half = bits // 128
+                u, v = (np.ascontiguousarray(folded(self.maps[bits][self.slot[bits][z]], half).T) for z in (x, y))
+                kind = np.uint8 if half <= 2 else np.uint16 if half <= 512 else np.uint32
+                differ = np.bitwise_count(u[0][:, None] ^ v[0][None, :]).astype(kind, copy=False)
+                for w in range(1, half):
+                    differ += np.bitwise_count(u[w][:, None] ^ v[w][None, :])
+                most = int((self.n[x].max() + self.n[y].max()) * (10 - self.tenths) // (10 + self.tenths))
+                i, j = np.nonzero(differ <= kind(min(most, np.iinfo(kind).max)))
+                if triangle and k == m:
+                    i, j = i[x[i] < y[j]], j[x[i] < y[j]]
+                keep = self.allowed(x[i], y[j], self.pos[p[i]], self.pos[q[j]])
+                i, j = i[keep], j[keep]
+                keep = self.near(x[i], y[j])
                 if keep.any():
-                    yield h1[keep], h2[keep]
+                    yield x[i[keep]], y[j[keep]]
+
+    def pairs(self, rows: np.ndarray, cols: np.ndarray, triangle: bool) -> np.ndarray:
+        """Distinct near pairs (x * number of rows + y), x of ``rows`` and y of
+        ``cols`` (masks), each once and in the order of rows if ``triangle``."""
+        n = len(self.h)
+        found = [np.zeros(0, np.int64)]
+        use = np.flatnonzero((rows | cols)[self.row])
+        use = use[np.argsort(self.word[use], kind="stable")]
+        count = np.bincount(self.word[use], minlength=len(self.known))
+        begin = np.cumsum(count) - count
+        for size in np.unique(count[(count > 1) & (count <= SHORT_LIST)]).tolist():
+            a, b = np.triu_indices(size, 1)
+            lists = begin[count == size]
+            for at in range(0, len(lists), max(1, (1 << 20) // len(a))):
+                some = lists[at : at + max(1, (1 << 20) // len(a)), None]
+                p, q = use[(some + a).ravel()], use[(some + b).ravel()]
+                x, y = self.row[p], self.row[q]
+                ok = np.flatnonzero((rows[x] & cols[y]) | (rows[y] & cols[x]))
+                ok = ok[self.allowed(x[ok], y[ok], self.pos[p[ok]], self.pos[q[ok]])]
+                ok = ok[self.near(x[ok], y[ok])]
+                x, y = x[ok], y[ok]
+                if triangle:
+                    found.append(np.minimum(x, y) * n + np.maximum(x, y))
+                else:
+                    found += [(x * n + y)[rows[x] & cols[y]], (y * n + x)[rows[y] & cols[x]]]
+        for w in np.flatnonzero(count > SHORT_LIST).tolist():
+            own = use[begin[w] : begin[w] + count[w]]
+            for x, y in self.tiled(own[rows[self.row[own]]], own[cols[self.row[own]]], triangle):
+                found.append(np.minimum(x, y) * n + np.maximum(x, y) if triangle else x * n + y)
+        return np.unique(np.concatenate(found))
+
+    def counted(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per pair: words of both segments, those of only x, those of only y, up
+        to where the shorter of the two prefixes ends."""
+        size = len(self.known) + 1
+        codes = np.sort(self.row * size + self.word)
+        last = np.full(len(self.h), size - 1)
+        last[self.ends] = self.word[(self.first + self.own - 1)[self.ends]]
+        limit = np.minimum(last[x], last[y])
+        own1, own2 = (np.searchsorted(codes, z * size + limit, "right") - self.first[z] for z in (x, y))
+        common = np.zeros(len(x), np.int64)
+        step = 1 << 15
+        for at in range(0, len(x), step):
+            k = np.arange(at, min(at + step, len(x)))
+            at_word = np.repeat(self.first[x[k]], self.own[x[k]]) + within(self.own[x[k]])
+            of = np.repeat(k, self.own[x[k]])
+            code = y[of] * size + self.word[at_word]
+            found = np.searchsorted(codes, code)
+            hit = codes[np.minimum(found, len(codes) - 1)] == code
+            common += np.bincount(of[hit], minlength=len(x))
+        return common, own1 - common, own2 - common
 
+    def partial(self) -> pa.Table:
+        """The near pairs of the group with their partial counts, as ``PARTIAL``."""
+        alike = bool((self.side == 0).all())
+        every = np.ones(len(self.h), bool)
+        one, two = (every, every) if alike else (self.side & ONE != 0, self.side & TWO != 0)
+        a, b = self.part.min(), self.part.max()
+        if a == b:
+            runs = [(one, two, alike)]
+        else:
+            runs = [(one & (self.part == a), two & (self.part == b), False)]
+            runs += [] if alike else [(one & (self.part == b), two & (self.part == a), False)]
+        code = np.unique(np.concatenate([self.pairs(*run) for run in runs]))
+        x, y = code // len(self.h), code % len(self.h)
+        x, y = x[self.h[x] != self.h[y]], y[self.h[x] != self.h[y]]
+        common, only1, only2 = self.counted(x, y)
+        if alike:
+            turn = self.h[x] > self.h[y]
+            x, y = np.where(turn, y, x), np.where(turn, x, y)
+            only1, only2 = np.where(turn, only2, only1), np.where(turn, only1, only2)
+        need = least_common(self.n[x], self.n[y], self.tenths)
+        keep = (self.n[x] - only1 >= need) & (self.n[y] - only2 >= need)
+        columns = (self.h[x], self.h[y], self.n[x].astype(np.int32), self.n[y].astype(np.int32), *(c.astype(np.int32) for c in (common, only1, only2)))
+        return pa.Table.from_batches([rows_of(PARTIAL, *(c[keep] for c in columns))])
 
-def candidates(texts: DataFrame, tenths: int) -> DataFrame:
-    """All pairs (h1, h2) of texts that lengths and bitmaps allow at a Jaccard of ``tenths`` / 10.
 
-    ``texts`` has each ``h`` once, with ``nw``, ``bits`` and ``side``: 0 for
-    all texts gives each pair once with h1 < h2; else h1 has ``ONE`` and h2 has
-    ``TWO`` among the bits of its side.
+def candidates(texts: DataFrame, tenths: int, most: int = SEGMENTS) -> DataFrame:
+    """Pairs (h1, h2) of texts that may reach a Jaccard of ``tenths`` / 10: all that do, few others.
+
+    ``texts`` has each ``h`` once, with ``nw``, ``bits``, ``values`` (its
+    distinct words as 48-bit hashes) and ``side``: 0 for all texts gives each
+    pair once with h1 < h2; else h1 has ``ONE`` and h2 has ``TWO`` among the
+    bits of its side.  ``most`` bounds the prefix words of a group.
     """
-    spark = texts.sparkSession
-    by_length = [(r["nw"], r["n"]) for r in texts.groupBy("nw").agg(F.count(F.lit(1)).alias("n")).orderBy("nw").collect()]
-    total = sum(n for _, n in by_length)
-    size = min(BLOCK_MOST, max(BLOCK_LEAST, -(-total // BLOCKS)))
-    starts, bounds, at = [], {}, 0
-    for nw, n in by_length:
-        starts.append((nw, at, n))
-        for b in range(at // size, (at + n - 1) // size + 1):
-            bounds[b] = (bounds.get(b, (nw,))[0], nw)
-        at += n
-    meet = [(b, b * len(bounds) + c) for b in bounds for c in bounds if b <= c and bounds[c][0] * tenths <= bounds[b][1] * 10]
-    meet += [(p % len(bounds), p) for b, p in meet if p % len(bounds) != b]
-    lengths = spark.createDataFrame(starts, "nw int, start bigint, n bigint")
-    partners = spark.createDataFrame(meet, "block int, pair int")
-    placed = texts.join(F.broadcast(lengths), "nw").withColumn("block", F.expr(f"cast((start + pmod(h, n)) div {size} as int)"))
-
-    blocks = len(bounds)
+    low = np.uint64(BUCKETS - 1)
+    seen = bucket_counts(texts, "values", lambda v: (v & low).astype(np.int64))
+    rank = np.empty(BUCKETS, np.int32)
+    rank[np.argsort(seen, kind="stable")] = np.arange(BUCKETS)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, count = flat(b.column(4))
+            doc = np.repeat(np.arange(len(count)), count)
+            key = keys_of(values, rank)
+            key = key[np.lexsort((key, doc))]
+            length = prefix_lengths(count, tenths)
+            keep = within(count) < np.repeat(length, count)
+            yield rows_of(ORDERED, *(b.column(k) for k in range(4)), binaries(key[keep], np.minimum(length, count)))
+
+    prefixes = texts.select("h", "nw", "side", "bits", "values").mapInArrow(ordered, ORDERED).persist(StorageLevel.MEMORY_AND_DISK)
+    postings = bucket_counts(prefixes, "prefix", lambda v: (v >> np.uint64(BELOW)).astype(np.int64))
+    fragment, parts = cut_order(postings, most)
+    base = np.cumsum(parts * parts) - parts * parts
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, nw, side = (b.column(k).to_numpy() for k in range(3))
+            words, count = flat(b.column(4))
+            if not len(words):
+                continue
+            doc = np.repeat(np.arange(len(count)), count)
+            piece = fragment[(words >> np.uint64(BELOW)).astype(np.int64)]
+            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (piece[1:] != piece[:-1])])
+            length = np.diff(np.r_[begin, len(words)])
+            of, f = doc[begin], piece[begin].astype(np.int64)
+            ends = np.r_[of[1:] != of[:-1], True]
+            k = parts[f]
+            part = h[of] % k
+            # a text meets each part of its fragment in one group
+            many = np.repeat(np.arange(len(begin)), k)
+            other = within(k)
+            low_part, high_part = np.minimum(part[many], other), np.maximum(part[many], other)
+            runs = np.repeat(begin[many], length[many]) + within(length[many])
+            yield rows_of(
+                SEGMENT, base[f[many]] + low_part * k[many] + high_part, h[of[many]], nw[of[many]], side[of[many]], part[many].astype(np.int32),
+                (begin - (np.cumsum(count) - count)[of])[many].astype(np.int32), ends[many], b.column(3).take(pa.array(of[many])), binaries(words[runs], length[many]),
+            )
 
     def group(table: pa.Table) -> pa.Table:
-        found = list(block_pairs(table, tenths, *divmod(table.column("pair")[0].as_py(), blocks)))
-        one, two = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.table({"h1": one, "h2": two})
+        return Group(table, tenths).partial()
 
-    return placed.join(F.broadcast(partners), "block").select("pair", "h", "nw", "side", "block", "bits").groupBy("pair").applyInArrow(group, PAIRS)
+    partial = prefixes.mapInArrow(segments, SEGMENT).groupBy("grp").applyInArrow(group, PARTIAL)
+    summed = partial.groupBy("h1", "h2").agg(*(F.max(c).alias(c) for c in ("n1", "n2")), *(F.sum(c).alias(c) for c in ("common", "only1", "only2")))
+    enough = lambda k: (F.col(f"n{k}") - F.col(f"only{k}")) * (10 + tenths) >= (F.col("n1") + F.col("n2")) * tenths
+    return summed.where((F.col("common") > 0) & enough(1) & enough(2)).select("h1", "h2")
 
 
 def only(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Same or near-same records across splits.
 
-Candidate pairs across the splits come from ``nearjoin``, which loses none, and
-are compared exactly by their distinct words.  In a pair that reaches the
+Candidate pairs across the splits come from the vertically partitioned join of
+``nearjoin``, which loses none, and are compared exactly by their distinct words.  In a pair that reaches the
 threshold, the winnowed fingerprints (minima of rolling hashes of word 5-grams in
 each window) that both texts have are seeds.  Seeds are chained where they are
 collinear, chains are extended by alignment of the words, and the covered part
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from clinmill.llm import nearjoin
 from clinmill.llm.group_splits import normal_split
-from clinmill.llm.near_duplicates import PREPARED, batch, chunks, prepare
+from clinmill.llm.near_duplicates import PREPARED, chunks, copies, prepare
 from clinmill.llm.shingles import Folding, grams, mixed, split_words, winnowed
 from clinmill.runtime import cut
 
@@ -137,7 +137,7 @@ def compare(batches: Iterator[pa.RecordBatch], tenths: int = 7) -> Iterator[pa.R
             one, seeds = x.split(" "), shared(prints[2 * k], prints[2 * k + 1])
             rows.append((a, b, len(seeds), coverage(one, y.split(" "), seeds), len(one), both, total))
         cols = list(zip(*rows)) or [()] * 7
-        yield batch(COMPARED, *(pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)))
+        yield nearjoin.rows_of(COMPARED, *(pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)))
 
 
 class SplitOverlap:
@@ -164,8 +164,8 @@ class SplitOverlap:
         """Compared pairs of different texts (h1 evaluation, h2 training) whose
         common words reach the threshold, with their coverage."""
         t = self.tenths
-        sizes = self.prepared.groupBy("h").agg(F.first("nw").alias("nw"), F.first("bits").alias("bits"), F.bit_or(F.col("side").cast("int")).alias("side"))
-        pairs = cut(nearjoin.candidates(sizes, t))
+        texts = self.prepared.groupBy("h").agg(*(F.first(c).alias(c) for c in ("nw", "bits", "values")), F.bit_or(F.col("side").cast("int")).alias("side"))
+        pairs = cut(nearjoin.candidates(texts, t))
         keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
         text = nearjoin.only(self.prepared.select("h", "words"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
         w1, w2 = (text.select(F.col("h").alias(f"h{k}"), F.col("words").alias(f"w{k}")) for k in (1, 2))
@@ -176,7 +176,7 @@ class SplitOverlap:
         ev = self.members.where(F.col("side") == EVALUATION).select(F.col("id").alias("id_eval"), F.col("h").alias("h1"))
         tr = self.members.where(F.col("side") == TRAIN).select(F.col("id").alias("id_train"), F.col("h").alias("h2"))
         near = self.text_pairs().select("h1", "h2", (F.col("couverts") / F.col("mots")).alias("couverture")).join(ev, "h1").join(tr, "h2")
-        same = ev.join(tr, F.col("h1") == F.col("h2")).withColumn("couverture", F.lit(1.0))
+        same = copies(ev.withColumnRenamed("h1", "h"), tr.withColumnRenamed("h2", "h")).withColumn("couverture", F.lit(1.0))
         cols = ("id_eval", "id_train", "couverture")
         return near.select(*cols).unionByName(same.select(*cols)).where("id_eval <> id_train").groupBy("id_eval", "id_train").agg(F.max("couverture").alias("couverture"))
 

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from clinmill.llm import nearjoin
 from clinmill.llm.components import connected
 from clinmill.llm.near_duplicates import NearDuplicates
 from clinmill.llm.shingles import words
@@ -155,3 +158,55 @@ def test_coverage_is_no_veto(spark):
     base = [f"mot{i}" for i in range(120)]
     df = spark.createDataFrame([("a", " ".join(base), "test"), ("b", " ".join(base[::-1] + ["fin"]), "train")], "id string, contexte_clinique string, split string")
     assert SplitOverlap(df).found().count() == 1
+
+
+@pytest.mark.parametrize("step", [6, 7])
+def test_spread_edits(spark, step):
+    """Pairs at the threshold: every ``step``-th word replaced, 80 to 130 words."""
+    r = random.Random(step)
+    rows = []
+    for k in range(60):
+        base = [f"m{r.randrange(2000)}" for _ in range(r.choice([80, 102, 106, 120, 130]))]
+        rows += [(f"a{k}", " ".join(base)), (f"b{k}", " ".join(f"z{r.randrange(2000)}" if i % step == 0 else w for i, w in enumerate(base)))]
+    df = spark.createDataFrame(rows, "id string, contexte_clinique string")
+    want = brute(rows)
+    assert {tuple(x) for x in NearDuplicates(df).pairs().collect()} == want and len(want) > 20
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_hot_words_are_split(sided):
+    """A group may hold few words: hot ones fall into parts, and the sums stay right."""
+    r = random.Random(2)
+    sets = [frozenset(r.sample(range(60), r.choice([8, 20, 24]))) for _ in range(120)]
+    sets += [frozenset(r.sample(sorted(s), len(s) - 1) + [r.randrange(60)]) for s in sets[:80]]
+    sets = list(dict.fromkeys(sets))
+    side = [r.choice([1, 2, 3]) if sided else 0 for _ in sets]
+    values = [np.array([(v * 0x9E3779B97F4A7C15) % (1 << 48) for v in sorted(s)], np.uint64) for s in sets]
+    n = np.array([len(v) for v in values])
+    maps = nearjoin.bitmaps(np.repeat(np.arange(len(n)), n), np.concatenate(values), n)
+    rank = np.arange(nearjoin.BUCKETS, dtype=np.int32)
+    keys = [np.sort(nearjoin.keys_of(v, rank))[: int(nearjoin.prefix_lengths(np.array([len(v)]), 7)[0])] for v in values]
+    postings = np.bincount(np.concatenate([k >> np.uint64(nearjoin.BELOW) for k in keys]).astype(np.int64), minlength=nearjoin.BUCKETS)
+    fragment, parts = nearjoin.cut_order(postings, 20)
+    assert parts.max() > 1
+    sums = {}
+    for f, k in enumerate(parts.tolist()):
+        for a in range(k):
+            for b in range(a, k):
+                rows = []
+                for d, own in enumerate(keys):
+                    at = [i for i, w in enumerate(own.tolist()) if fragment[w >> nearjoin.BELOW] == f]
+                    if at and d % k in (a, b):
+                        rows.append((0, d, int(n[d]), side[d], d % k, at[0], at[-1] == len(own) - 1, maps[d], own[at].tobytes()))
+                if rows:
+                    fields = [("grp", pa.int64()), ("h", pa.int64()), ("nw", pa.int32()), ("side", pa.int32()), ("part", pa.int32()), ("start", pa.int32()), ("ends", pa.bool_()), ("bits", pa.binary()), ("words", pa.binary())]
+                    table = pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[x for x, _ in fields])
+                    for p in nearjoin.Group(table, 7).partial().to_pylist():
+                        s = sums.setdefault((p["h1"], p["h2"]), [0, 0, 0])
+                        for i, c in enumerate(("common", "only1", "only2")):
+                            s[i] += p[c]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if i != j and 10 * len(x & y) >= 7 * len(x | y) and ((side[i] & 1 and side[j] & 2) if sided else i < j):
+                common, only1, only2 = sums[i, j]
+                assert common <= len(x & y) and only1 <= len(x - y) and only2 <= len(y - x)
