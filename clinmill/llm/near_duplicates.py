@@ -109,8 +109,7 @@ class NearDuplicates:
     def class_pairs(self) -> DataFrame:
         """Pairs (h1, h2) of different texts at or above the threshold: words of both, words of either."""
         t = self.tenths
-        texts = self.prepared.select("h", "nw", F.lit(0).alias("side"), "bits", "values").dropDuplicates(["h"])
-        pairs = cut(nearjoin.candidates(texts, t))
+        pairs = cut(nearjoin.candidates(self.prepared.withColumn("side", F.lit(0)), t))
         keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
         text = nearjoin.only(self.prepared.select("h", "values"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
         one, two = (text.select(F.col("h").alias(f"h{k}"), F.col("values").alias(f"v{k}")) for k in (1, 2))

@@ -34,8 +34,8 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Bits of an ordered word below its bucket's rank; words are hashes of 48 bits.
 BELOW = 48 - BUCKET_BITS
-#: Prefix words that one group of a fragment holds.
-SEGMENTS = 1 << 18
+#: Prefix words that one group of a fragment holds, and pairs of texts with a word in common.
+SEGMENTS, MEETINGS = 1 << 18, 1 << 30
 #: Lists of up to this many texts are paired by index, longer ones in tiles of TILE texts.
 SHORT_LIST, TILE = 32, 384
 #: Least width of a bitmap in bits.
@@ -133,18 +133,22 @@ def bucket_counts(rows: DataFrame, column: str, bucket: Callable[[np.ndarray], n
     return out
 
 
-def cut_order(postings: np.ndarray, most: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """Fragment of each rank, and the parts that each fragment's texts fall into:
-    more than one only where a single bucket has more than ``most`` postings."""
+def cut_order(postings: np.ndarray, most: int = SEGMENTS, meetings: int = MEETINGS) -> tuple[np.ndarray, np.ndarray]:
+    """Fragment of each rank, and the parts that each fragment's texts fall into.
+
+    A fragment has at most ``most`` postings and ``meetings`` (the sum of the
+    squares of its buckets' postings); a bucket above either is a fragment of
+    its own, in parts if it has more than ``most`` postings.
+    """
     fragment = np.zeros(len(postings), np.int32)
-    parts, held = [1], 0
+    parts, held, met = [1], 0, 0
     for r, n in enumerate(postings.tolist()):
-        if held and (held + n > most or parts[-1] > 1):
+        if held and (held + n > most or met + n * n > meetings):
             parts.append(1)
-            held = 0
+            held = met = 0
         held += n
-        if held > most:
-            parts[-1] = -(-held // most)
+        met += n * n
+        parts[-1] = max(1, -(-held // most))
         fragment[r] = len(parts) - 1
     return fragment, np.array(parts, np.int64)
 
@@ -319,10 +323,11 @@ class Group:
 def candidates(texts: DataFrame, tenths: int, most: int = SEGMENTS) -> DataFrame:
     """Pairs (h1, h2) of texts that may reach a Jaccard of ``tenths`` / 10: all that do, few others.
 
-    ``texts`` has each ``h`` once, with ``nw``, ``bits``, ``values`` (its
-    distinct words as 48-bit hashes) and ``side``: 0 for all texts gives each
-    pair once with h1 < h2; else h1 has ``ONE`` and h2 has ``TWO`` among the
-    bits of its side.  ``most`` bounds the prefix words of a group.
+    ``texts`` has rows of texts ``h`` (repeated ones count once) with ``nw``,
+    ``bits``, ``values`` (the distinct words as 48-bit hashes) and ``side``: 0
+    for all texts gives each pair once with h1 < h2; else h1 has ``ONE`` and h2
+    has ``TWO`` among the bits of its sides.  ``most`` bounds the prefix words of
+    a group.
     """
     low = np.uint64(BUCKETS - 1)
     seen = bucket_counts(texts, "values", lambda v: (v & low).astype(np.int64))
@@ -339,7 +344,8 @@ def candidates(texts: DataFrame, tenths: int, most: int = SEGMENTS) -> DataFrame
             keep = within(count) < np.repeat(length, count)
             yield rows_of(ORDERED, *(b.column(k) for k in range(4)), binaries(key[keep], np.minimum(length, count)))
 
-    prefixes = texts.select("h", "nw", "side", "bits", "values").mapInArrow(ordered, ORDERED).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = texts.select("h", "nw", "side", "bits", "values").mapInArrow(ordered, ORDERED)
+    prefixes = rows.groupBy("h").agg(F.first("nw").alias("nw"), F.bit_or("side").alias("side"), *(F.first(c).alias(c) for c in ("bits", "prefix"))).persist(StorageLevel.MEMORY_AND_DISK)
     postings = bucket_counts(prefixes, "prefix", lambda v: (v >> np.uint64(BELOW)).astype(np.int64))
     fragment, parts = cut_order(postings, most)
     base = np.cumsum(parts * parts) - parts * parts

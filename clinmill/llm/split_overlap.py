@@ -164,8 +164,7 @@ class SplitOverlap:
         """Compared pairs of different texts (h1 evaluation, h2 training) whose
         common words reach the threshold, with their coverage."""
         t = self.tenths
-        texts = self.prepared.groupBy("h").agg(*(F.first(c).alias(c) for c in ("nw", "bits", "values")), F.bit_or(F.col("side").cast("int")).alias("side"))
-        pairs = cut(nearjoin.candidates(texts, t))
+        pairs = cut(nearjoin.candidates(self.prepared.withColumn("side", F.col("side").cast("int")), t))
         keys = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
         text = nearjoin.only(self.prepared.select("h", "words"), keys, "h", 2 * pairs.count()).dropDuplicates(["h"])
         w1, w2 = (text.select(F.col("h").alias(f"h{k}"), F.col("words").alias(f"w{k}")) for k in (1, 2))
