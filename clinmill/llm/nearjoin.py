@@ -377,7 +377,9 @@ def candidates(texts: DataFrame, tenths: int, most: int = SEGMENTS) -> DataFrame
     def group(table: pa.Table) -> pa.Table:
         return Group(table, tenths).partial()
 
-    partial = prefixes.mapInArrow(segments, SEGMENT).groupBy("grp").applyInArrow(group, PARTIAL)
+    # as many tasks as groups, so that none gets several long ones
+    groups = int((parts * (parts + 1) // 2).sum())
+    partial = prefixes.mapInArrow(segments, SEGMENT).repartition(groups, "grp").groupBy("grp").applyInArrow(group, PARTIAL)
     summed = partial.groupBy("h1", "h2").agg(*(F.max(c).alias(c) for c in ("n1", "n2")), *(F.sum(c).alias(c) for c in ("common", "only1", "only2")))
     enough = lambda k: (F.col(f"n{k}") - F.col(f"only{k}")) * (10 + tenths) >= (F.col("n1") + F.col("n2")) * tenths
     return summed.where((F.col("common") > 0) & enough(1) & enough(2)).select("h1", "h2")
