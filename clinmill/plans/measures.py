@@ -33,7 +33,7 @@ def p5_values(spark, folder):
 
 
 def p5_segments(spark, folder):
-    return units.segments(units.with_bins(units.measures(table(spark, folder, "cas_clinique"))))
+    return units.segments(units.measures(table(spark, folder, "cas_clinique")).persist())
 
 
 def numbers_in_text(spark, folder):

@@ -1,6 +1,6 @@
 import json
 from collections import Counter
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,8 +221,10 @@ def test_change_points(spark):
     rng = np.random.default_rng(3)
     t0 = datetime(2024, 1, 1)
     data = [(i, "s", float(rng.normal(120, 10) / (10 if 200 <= i < 400 else 1)), None, None, None, None, t0 + timedelta(hours=i), "x") for i in range(600)]
-    seg = units.segments(units.with_bins(units.measures(spark.createDataFrame(data, CASE).withColumn("glycemie_mmol_l", F.lit(None).cast("double"))))).toPandas().sort_values("bin")
-    assert list(dict.fromkeys(seg["unite_segment"])) == ["mmHg", "cmHg"] and seg["changement"].any()
+    long = units.measures(spark.createDataFrame(data, CASE).withColumn("glycemie_mmol_l", F.lit(None).cast("double")))
+    seg = units.segments(long).orderBy("segment").collect()
+    assert [r["unite_segment"] for r in seg] == ["mmHg", "cmHg", "mmHg"] and [r["changement"] for r in seg] == [False, True, True]
+    assert [r["debut"] for r in seg] == [None, *((t0 + timedelta(hours=i)).replace(tzinfo=timezone.utc).timestamp() for i in (200, 400))]
     n = np.ones(60)
     x = np.r_[np.zeros(20), np.full(20, 3.0), np.zeros(20)] + rng.normal(0, 0.1, 60)
     assert units.pelt(n, x, x * x, 2.0) == [0, 20, 40]
@@ -230,6 +232,41 @@ def test_change_points(spark):
     assert cut == (20, 40)
 
 
+def test_pelt_is_exact_with_a_least_length():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for k in range(30):
+        x = np.concatenate([rng.normal(m, 0.4, rng.integers(1, 9)) for m in rng.normal(0, 1, 5)])
+        m, penalty, least = len(x), float(rng.choice([0.3, 1.0])), int(rng.choice([1, 3]))
+        cost = lambda a, b: ((x[a:b] - x[a:b].mean()) ** 2).sum()
+        best = [-penalty] + [np.inf] * m
+        for t in range(1, m + 1):
+            best[t] = min([best[a] + cost(a, t) + penalty for a in range(t - least + 1)], default=np.inf)
+        cuts = units.pelt(np.ones(m), x, x * x, penalty, least)
+        if np.isfinite(best[m]):
+            assert abs(sum(cost(a, b) + penalty for a, b in zip(cuts, [*cuts[1:], m])) - penalty - best[m]) < 1e-9
+
+
+def test_unit_change_inside_a_source(spark):
+    """The level shift decides: no one convention fits the history; stray times blur nothing."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    t0 = datetime(2024, 1, 1)
+    data = [(i, "s", float(rng.normal(120, 12) / (7.50062 if i >= 345 else 1)), None, None, None, None, t0 + timedelta(hours=i), "x") for i in range(600)]
+    data += [(1000 + i, "u", float(rng.normal(12, 1)), None, None, None, None, t0 + timedelta(hours=i), "x") for i in range(200)]
+    data += [(3000 + i, "d", 115.0 + i, "mmHg", None, None, None, t0, "x") for i in range(10)]
+    data += [(2000, "s", 118.0, None, None, None, None, datetime(1901, 1, 1), "x"), (2001, "s", 121.0, None, None, None, None, None, "x")]
+    df = spark.createDataFrame(data, CASE).withColumn("glycemie_mmol_l", F.lit(None).cast("double"))
+    conv = spark.createDataFrame([("s", "pas_mmhg", "mmHg"), ("u", "pas_mmhg", "kPa")], "source string, champ string, unite string")
+    got = {r["releve_no"]: r for r in units.real_units(df, conv).collect()}
+    assert {i for i in range(600) if got[i]["unite"] == "kPa"} == set(range(345, 600)) and got[0]["changement"]
+    assert got[1000]["unite_segment"] == "cmHg" and got[1000]["unite"] == "kPa" and not got[1000]["changement"]  # laid down, and nothing speaks against it
+    assert got[2000]["unite"] == got[2001]["unite"] == "mmHg"
+    assert sorted(r["releve_no"] for r in units.foreign_units(df, conv).collect()) == [*range(345, 600), *range(1000, 1200)]
+
+
 def test_counter_matches(spark):
     df = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "v string")
     assert dict(map(tuple, reports.value_counts(df, "v").collect())) == dict(Counter(["x", "y", "x", None]))
