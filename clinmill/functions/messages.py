@@ -98,8 +98,10 @@ def trailing_run(messages: Column, role: str, pattern: str) -> Column:
 
 
 def first_json(text: Column, schema: str) -> Column:
-    """struct(value, erreur): the first JSON object in a noisy text; what follows it is ignored."""
+    """struct(value, erreur): the first JSON object in a noisy text; what follows it
+    is ignored.  An object without any of the fields is a value with null fields;
+    ``erreur`` is the text where no object can be read."""
     at = F.instr(text, "{")
-    value = F.when(at > 0, F.from_json(F.substr(text, at), schema))
-    bad = (at == 0) | value.isNull() | F.forall(F.array(*(value[c.split(":")[0].strip().split()[0]].isNull() for c in schema.removeprefix("struct<").removesuffix(">").split(","))), lambda x: x)
-    return F.struct(value.alias("value"), F.when(F.coalesce(bad, F.lit(True)), F.substring(text, 1, 2000)).alias("erreur"))
+    head = F.substr(text, at)
+    value = F.when((at > 0) & F.json_object_keys(head).isNotNull(), F.from_json(head, schema))
+    return F.struct(value.alias("value"), F.when(value.isNull(), F.coalesce(F.substring(text, 1, 2000), F.lit(""))).alias("erreur"))

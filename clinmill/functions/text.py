@@ -96,17 +96,20 @@ def quoted(quote: Column, source: Column, each: int = 3, whole: int = 4) -> Colu
 
 
 def longest_run(quote: Column, source: Column) -> Column:
-    """struct(n, total): words of the longest run of the quotation that stands in the source."""
+    """struct(n, total): words of the longest run of the quotation that stands in the source.
+
+    One pass: a longer run that ends at a word can only be one word longer than
+    the longest one before it.
+    """
     ws = F.split(quotable(quote), " ")
     inside = F.concat(F.lit(" "), quotable(source), F.lit(" "))
 
-    def from_start(i: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.size(ws) - i + 1)
-        held = F.filter(lengths, lambda k: F.contains(inside, F.concat(F.lit(" "), F.array_join(F.slice(ws, i, k), " "), F.lit(" "))))
-        return F.coalesce(F.array_max(held), F.lit(0))
+    def step(best: Column, end: Column) -> Column:
+        run = F.array_join(F.slice(ws, F.greatest(end - best, F.lit(1)), best + 1), " ")
+        return F.when((end > best) & F.contains(inside, F.concat(F.lit(" "), run, F.lit(" "))), best + 1).otherwise(best)
 
     empty = F.coalesce(quotable(quote), F.lit("")) == ""
-    n = F.when(empty, 0).otherwise(F.array_max(F.transform(F.sequence(F.lit(1), F.size(ws)), from_start)))
+    n = F.when(empty, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(ws)), F.lit(0), step))
     return F.struct(F.coalesce(n, F.lit(0)).alias("n"), F.when(empty, 0).otherwise(F.size(ws)).alias("total"))
 
 
@@ -174,16 +177,12 @@ def matching_names(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(f"(?iu){p}"), name) for name, p in patterns.items())))
 
 
-# Frequent words that tell English from French.
-ENGLISH = ("the", "you", "your", "and", "are", "is", "with", "have", "what", "please", "for", "not", "this", "that")
-FRENCH = ("le", "la", "les", "vous", "votre", "et", "est", "avec", "avez", "que", "pour", "pas", "ce", "de", "un", "une")
-
-
-def drifts_from_french(text: Column) -> Column:
-    """Ideographs, or at least three English words and more than French ones."""
+def drifts_from(text: Column, foreign: tuple[str, ...], own: tuple[str, ...], least: int = 3) -> Column:
+    """Whether a text leaves its language: letters of an East Asian script, or at
+    least ``least`` words of the ``foreign`` list (folded) and more than of ``own``."""
     ws = F.regexp_extract_all(folded(text), F.lit("[a-z]+"), F.lit(0))
     count = lambda some: F.size(F.filter(ws, lambda w: w.isin(*some)))
-    return text.rlike("[぀-ヿ一-鿿가-힯]") | ((count(ENGLISH) >= 3) & (count(ENGLISH) > count(FRENCH)))
+    return text.rlike(r"\p{IsHan}|\p{IsHiragana}|\p{IsKatakana}|\p{IsHangul}") | ((count(foreign) >= least) & (count(foreign) > count(own)))
 
 
 def artefacts(text: Column, marks: list[str], end: str = "<|im_end|>") -> Column:

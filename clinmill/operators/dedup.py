@@ -88,8 +88,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def first_difference(a: str, b: str):
-    """Position from 0 where two strings first differ, -1 if they are equal; null for null."""
+    """Position from 0 where two strings first differ, -1 if they are equal; null
+    for null.  The length of the common prefix is found bit by bit."""
     x, y = F.col(a), F.col(b)
-    n = F.greatest(F.length(x), F.length(y))
-    at = F.filter(F.sequence(F.lit(1), n), lambda i: F.substr(x, i, F.lit(1)) != F.substr(y, i, F.lit(1)))
-    return F.when(x == y, -1).otherwise(F.get(at, F.lit(0)) - 1)
+    n = F.least(F.length(x), F.length(y))
+
+    def step(lo, bit):
+        longer = (lo + bit).cast("int")
+        same = F.substr(x, lo + 1, bit.cast("int")) == F.substr(y, lo + 1, bit.cast("int"))
+        return F.when((longer <= n) & same, longer).otherwise(lo)
+
+    bits = F.array(*(F.lit(1 << k) for k in range(29, -1, -1)))
+    return F.when(x == y, -1).when(x.isNotNull() & y.isNotNull(), F.aggregate(bits, F.lit(0), step))

@@ -103,12 +103,20 @@ def signs(text: Column, families: dict[str, list[str]], combos: list[tuple[str,
     return F.array_compact(F.array(*each))
 
 
-def first_hit(turns: DataFrame, conversation: str, turn: str, role: str, text: str, patient: str, families: dict[str, list[str]]) -> DataFrame:
-    """Per conversation the first patient turn at which the signs of all patient text so far aren't empty."""
-    w = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
-    rows = turns.where(F.col(role) == patient).withColumn("_t", F.array_join(F.collect_list(text).over(w), " . "))
-    hit = rows.withColumn("signes", signs(F.col("_t"), families)).where(F.size("signes") > 0)
-    return hit.groupBy(conversation).agg(F.min(turn).alias("tour"), F.min_by("signes", turn).alias("signes"))
+def first_hit(turns: DataFrame, conversation: str, turn: str, role: str, text: str, patient: str, families: dict[str, list[str]], combos: list[tuple[str, str, str]] = []) -> DataFrame:  # noqa: B006
+    """Per conversation the first patient turn at which the signs of all patient text so far aren't empty.
+
+    A sign stands in one clause, so each turn is searched once; a combination
+    (name, pattern, pattern) holds from the turn that brings its second pattern.
+    """
+    at = lambda p: F.min(F.when(said(F.col(text), p), F.col(turn)))
+    first = [at("(?:" + "|".join(p) + ")").alias(f"f{i}") for i, p in enumerate(families.values())]
+    first += [c for i, (_, a, b) in enumerate(combos) for c in (at(a).alias(f"a{i}"), at(b).alias(f"b{i}"))]
+    since = {name: F.col(f"f{i}") for i, name in enumerate(families)}
+    since |= {name: F.when(F.col(f"a{i}").isNotNull() & F.col(f"b{i}").isNotNull(), F.greatest(f"a{i}", f"b{i}")) for i, (name, _, _) in enumerate(combos)}
+    per = turns.where(F.col(role) == patient).groupBy(conversation).agg(*first)
+    hit = per.withColumn("tour", F.array_min(F.array_compact(F.array(*since.values())))).where("tour is not null")
+    return hit.select(conversation, "tour", F.array_compact(F.array(*(F.when(c <= F.col("tour"), F.lit(name)) for name, c in since.items()))).alias("signes"))
 
 
 def out_of_scope(text: Column, outside: list[str], inside: list[str]) -> Column:

@@ -18,13 +18,25 @@ def group_split(df: DataFrame, group: str, ratio: float, seed: int = 42, least:
     """Adds ``jeu``: whole groups in train or validation.
 
     The validation groups are the first max(1, round(n * ratio)) in seeded
-    order, none below ``least`` groups; null groups are train.  Only distinct
-    groups are ranked, and only the first of them are kept.
+    order, none below ``least`` groups; null groups are train.  Distinct groups
+    are counted by the first digits of their key; only those that share the digits
+    at which the wanted number is reached are ranked.
     """
-    groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    n = groups.count()
+    groups = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("_k", seeded(seed, group)).withColumn("_d", F.substring("_k", 1, 4))
+    counts = groups.groupBy("_d").agg(F.count(F.lit(1)).alias("n")).orderBy("_d").collect()  # at most 65,536 rows
+    n = sum(r["n"] for r in counts)
     wanted = max(1, int(round(n * ratio))) if n >= least else 0
-    chosen = groups.withColumn("_k", seeded(seed, group)).orderBy("_k", group).limit(wanted).select(group, F.lit("validation").alias("jeu"))
+    edge, before = "", 0
+    for r in counts:
+        edge = r["_d"]
+        if before + r["n"] >= wanted:
+            break
+        before += r["n"]
+    if not wanted:
+        return df.withColumn("jeu", F.lit("train"))
+    below = groups.where(F.col("_d") < edge).select(group)
+    ranked = groups.where(F.col("_d") == edge).orderBy("_k", group).limit(wanted - before).select(group)
+    chosen = below.unionByName(ranked).withColumn("jeu", F.lit("validation"))
     return df.join(chosen, group, "left").withColumn("jeu", F.coalesce("jeu", F.lit("train")))
 
 

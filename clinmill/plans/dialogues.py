@@ -16,6 +16,9 @@ NAMES = {"assistant": "Agent", "user": "Patient"}
 SIGNS = {"thorax": ["douleur thoracique"], "souffle": ["essoufflement", "etouffe"], "convulsion": ["convulsion"], "saignement": ["sang dans les selles", "saignement"]}
 OUTSIDE, INSIDE = ["montre connectee", "meteo", "scaphandrier", "guide de montagne"], ["douleur", "convulsion", "fievre", "toux"]
 REASSURING = {"rassurance": "ne vous inqui[eé]tez pas|rien d'autre", "diagnostic": "il s'agit d|diagnostic", "consigne": "restez assis|surveillez"}
+#: Words that tell English from French here.
+FOREIGN = ("of", "to", "in", "it", "he", "that", "his", "her", "they", "from", "by", "had", "been", "we", "were", "who", "which", "would", "their", "there", "the", "and")
+OWN = ("dans", "une", "des", "sur", "par", "mais", "nous", "ils", "elle", "cette", "sont", "aux", "chez", "depuis", "je", "mon", "du", "au", "il", "les")
 MARKS = ["PATIENT :", "AGENT :", "Question :"]
 
 
@@ -69,7 +72,7 @@ def reply_defects(spark, folder):
     r = T.clean_reply(F.col("rejected"))
     return _pairs(spark, folder).where("rejected is not null").select(
         "paire_id", T.question_count(r).alias("n_questions"), T.word_count(r).alias("n_mots"), T.concludes(r).alias("conclut"), T.tag_label(r).alias("etiquette"),
-        F.array_join(T.matching_names(r, REASSURING), ",").alias("motifs"), T.drifts_from_french(r).alias("derive"), F.array_join(T.artefacts(F.col("rejected"), MARKS), ",").alias("artefacts"),
+        F.array_join(T.matching_names(r, REASSURING), ",").alias("motifs"), T.drifts_from(r, FOREIGN, OWN).alias("derive"), F.array_join(T.artefacts(F.col("rejected"), MARKS), ",").alias("artefacts"),
     )
 
 
@@ -167,7 +170,7 @@ _P = "p as (select * from paire_preference qualify row_number() over (partition
 _M = _P + ", m as (select * from p where messages_contexte is not null)"
 _CLEAN = Q.stripped("split_part(split_part(split_part(rejected, '<|im_end|>', 1), '<|endoftext|>', 1), '<|im_start|>', 1)")
 _WORDS = f"regexp_extract_all({Q.folded('r')}, '[a-z]+')"
-_EN, _FR = (", ".join(f"'{w}'" for w in x) for x in (T.ENGLISH, T.FRENCH))
+_EN, _FR = (", ".join(f"'{w}'" for w in x) for x in (FOREIGN, OWN))
 _C = _P + """, c0 as (select * from p where cas_id is not null and tour is not null and total_chosen is not null and total_rejected is not null),
     c as (select cas_id, tour, paire_id * 2 as n, total_chosen as total, true as reference, true as sur, chosen as texte from c0
     union all select cas_id, tour, paire_id * 2 + 1, total_rejected, false, total_rejected >= 8, rejected from c0)"""

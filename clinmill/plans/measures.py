@@ -212,7 +212,7 @@ def parsed_responses(spark, folder):
 
 def golden_comparison(spark, folder):
     g = table(spark, folder, "golden_etape1_extraction").select("id", "extraction_attendue.motif_id", "extraction_attendue.criteres_presents", "extraction_attendue.gcs")
-    made = g.select("id", F.when(F.col("gcs") == 15, F.col("motif_id")).alias("motif_id"), F.reverse("criteres_presents").alias("criteres_presents"), "gcs")
+    made = g.select("id", F.when(F.col("gcs") == 15, F.col("motif_id")).alias("motif_id"), F.when(F.size("criteres_presents") > 1, F.reverse("criteres_presents")).alias("criteres_presents"), F.nullif("gcs", F.lit(14)).alias("gcs"))
     return responses.golden(made, g, "id", ["motif_id", "criteres_presents", "gcs"])
 
 
@@ -343,7 +343,8 @@ SQL = {
     "parsed_responses": """with c as (select user_id as id, cast(json_extract(props, '$.k') as int) as k, event_id from events where event_type = 'click'), r as (select id, k, row_number() over (partition by id order by coalesce(k <= 20, true), event_id desc) as r from c)
         select u.id, case when r.k > 20 then r.k end as k, case when r.k > 20 then 'error' else 'click' end as _echec from (select distinct user_id as id from events) u left join r on u.id = r.id and r.r = 1""",
     "golden_comparison": """with g as (select id, extraction_attendue.motif_id as m, extraction_attendue.criteres_presents as c, extraction_attendue.gcs as g from golden_etape1_extraction)
-        select id, case when g = 15 then m end is not distinct from m as ok_motif_id, true as ok_criteres_presents, true as ok_gcs, case when g = 15 then m end is not distinct from m as ok from g""",
+        , x as (select id, case when g = 15 then m end is not distinct from m as ok_motif_id, (case when len(c) > 1 then list_sort(list_distinct(c)) end) is not distinct from list_sort(list_distinct(c)) as ok_criteres_presents,
+        nullif(g, 14) is not distinct from g as ok_gcs from g) select *, ok_motif_id and ok_criteres_presents and ok_gcs as ok from x""",
     "catalogue_sections": """with p as (select specialite as section, min(case specialite when 'Neurologie' then 0 when 'Urologie' then 1 else 2 end) as p, min(id) as f, string_agg('- ' || libelle, chr(10) order by id) as texte from motif group by specialite)
         select section, cast(row_number() over (order by p, f) as int) as rang, texte from p""",
 }

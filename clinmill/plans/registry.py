@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinmill.plans import curation, dialogues, measures
+from clinmill.plans import curation, dialogues, measures, stages
 
-MODULES = (curation, dialogues, measures)
+MODULES = (curation, dialogues, measures, stages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,13 +15,17 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructT
     """JSON lines, blank lines skipped.
 
     Strict: a line that can't be read or has no key fails the job when it is
-    read; lenient: such fields are null.
+    read, and the error gives the file and the line; lenient: such fields are
+    null.
     """
-    reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.json(path)
     if not strict:
         return df
-    return df.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit(f"row without {key}")).cast(df.schema[key].dataType)))
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_name").alias("_f"))
+    rows = lines.withColumn("_v", F.from_json("value", df.schema)).withColumn("_bad", F.json_object_keys("value").isNull() | F.col(f"_v.{key}").isNull())
+    told = F.raise_error(F.concat(F.lit(f"row without {key}, or unreadable: "), "_f", F.lit(": "), F.substring("value", 1, 200)))
+    return rows.select(*(F.when(F.col("_bad"), told.cast(f.dataType)).otherwise(F.col(f"_v.{f.name}")).alias(f.name) if f.name == key else F.col(f"_v.{f.name}") for f in df.schema.fields))
 
 
 def by_suffix(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:

@@ -9,33 +9,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "tours int, texte string, conclu boolean"
+STATE = "signes array<string>, conclu boolean"
 OUT = "conversation string, tour long, niveau string, source string, signes array<string>"
 
 
-def decisions(turns: DataFrame, find: Callable[[str], list[str]], level: str = "urgence_maximale", keep: int = 20_000) -> DataFrame:
-    """The first turn of each conversation at which its patient text has signs.
+def decisions(turns: DataFrame, find: Callable[[str], list[str]], level: str = "urgence_maximale", decisive: Callable[[list[str]], list[str]] = list) -> DataFrame:
+    """The first turn of each conversation at which what its patient said so far is decisive.
 
-    ``turns`` is a stream of (conversation, tour, role, texte); state per
-    conversation is the patient text so far (the last ``keep`` characters are
-    enough for patterns of a clause) and whether it has ended.  Runs with the
-    RocksDB or the default state store; output mode append.
+    ``turns`` is a stream of (conversation, tour, role, texte).  ``find`` names the
+    signs in one turn; ``decisive`` tells of all signs so far, in the order of
+    their coming, those that decide (combinations too).  State per conversation
+    is the distinct signs and whether it has ended, however long it is.  Runs
+    with the RocksDB or the default state store; output mode append.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, text, over = state.get if state.exists else (0, "", False)
-        rows = pd.concat(list(batches)).sort_values("tour")
-        out = []
-        for r in rows.itertuples():
-            n += 1
-            if over or r.role != "user" or not r.texte:
-                continue
-            text = (text + " . " + r.texte)[-keep:]
-            signs = find(text)
-            if signs:
-                over = True
-                out.append((key[0], int(r.tour), level, "plancher", signs))
-        state.update((n, text, over))
+        seen, over = state.get if state.exists else ([], False)
+        seen, out = list(seen), []
+        if not over:
+            rows = pd.concat([b[b["role"] == "user"] for b in batches]).dropna(subset=["texte"]).sort_values("tour")
+            for turn, signs in zip(rows["tour"].tolist(), map(find, rows["texte"].tolist())):
+                seen += [s for s in dict.fromkeys(signs) if s not in seen]
+                found = decisive(seen)
+                if found:
+                    over = True
+                    out.append((key[0], int(turn), level, "plancher", found))
+                    break
+        state.update((seen, over))
         yield pd.DataFrame(out, columns=["conversation", "tour", "niveau", "source", "signes"])
 
     return turns.groupBy("conversation").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -64,7 +64,7 @@ def test_replies(spark):
     t = F.col("t")
     got = one(
         spark, [(" Oui ?? Non ? [[PRIORITE: moderee ]] <|im_end|> reste",), ("the doctor and you are here with me, please",), (None,)], "t string",
-        T.clean_reply(t), T.concludes(t), T.tag_label(t), T.question_count(t), T.word_count(t), T.drifts_from_french(t),
+        T.clean_reply(t), T.concludes(t), T.tag_label(t), T.question_count(t), T.word_count(t), T.drifts_from(t, ("the", "and", "you", "with"), ("le", "les")),
     )
     assert got[0] == ("Oui ?? Non ? [[PRIORITE: moderee ]]", True, "moderee", 2, 9, False)
     assert got[1][1:4] == (False, None, 0) and got[1][5]
@@ -121,5 +121,9 @@ def test_json(spark):
     df = spark.createDataFrame([('bla {"a": "x", "b": 2} reste',), ("rien",), (None,)], "t string")
     got = df.select(M.first_json(F.col("t"), "struct<a:string,b:int>").alias("j")).select("j.value.a", "j.erreur").collect()
     assert tuple(got[0]) == ("x", None) and got[1][1] == "rien" and got[2][0] is None
+    nested = "struct<a:array<struct<p:int,q:int>>,b:struct<c:string,d:string>>"
+    raw = [('x {"a": [{"p": 1, "q": 2}], "b": {"c": "u", "d": "v"}} y',), ('{"z": 1}',), ('{"a": [',)]
+    got = spark.createDataFrame(raw, "t string").select(M.first_json(F.col("t"), nested).alias("j")).select("j.value.a", "j.value.b.d", "j.erreur").collect()
+    assert got[0][0][0]["q"] == 2 and got[0][1:] == ("v", None) and got[1][2] is None and got[2][2] == '{"a": ['
     array = '[{"role": "user", "content": "q"}, {"role": "assistant", "content": "r"}]'
     assert [r[0] for r in spark.createDataFrame([(array,), ("plain",), (None,)], "t string").select(M.answer_text(F.col("t"))).collect()] == ["r", "plain", None]
