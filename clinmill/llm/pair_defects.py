@@ -4,8 +4,9 @@
 answer has at most one, the first of these that holds.
 
 Copies are found by compression: with the prompt as a zstandard dictionary a
-copied answer shrinks to almost nothing; an alignment of the words then tells a
-copy from a quotation.  Languages and refusals go by dictionaries.  Truncation
+copied answer shrinks to almost nothing, and so does the prompt with the answer
+as dictionary; a quotation with more around it, or of a part, shrinks on one
+side only.  Languages and refusals go by dictionaries.  Truncation
 goes by a model of terminal contexts (naive Bayes over what stands at the end),
 trained on complete answers and on the same answers cut at random places.
 """
@@ -17,7 +18,6 @@ import math
 import random
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -29,13 +29,12 @@ from clinmill.llm.shingles import fold, words
 FOUND = "paire_id bigint, champ string, defaut string"
 #: Answers of which the terminal-context model is trained, each also cut CUTS times.
 SAMPLE, CUTS = 2000, 3
-#: Compressed with its prompt a copy takes at most this share of its size alone.
-COPY_RATIO = 0.55
+#: With the other as dictionary, a copy and what it copies both take at most this share of their size alone.
+COPY_RATIO = 0.25
 #: Bytes of frame and block headers in any compressed text.
 OVERHEAD = 9
-#: Least share of words of answer and question that a copy has in common, in order.
-COPY_WORDS = 0.75
-
+#: Bytes of the one match that a whole copy is.
+MATCH = 4
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "fr": "le la les l un une des du de d et est vous je j qui que qu pas au aux en pour ne n si à votre vos avez ce c il elle on dans sur avec plus ou où nous me m mon ma mes son sa ses cette ces être sont ai suis depuis mais quand bien par se s rien très d'ici oui non",
@@ -77,6 +76,7 @@ _GOES_ON = re.compile(
 _TAG = re.compile(r"\[\[[^\]]*\]\]|<\|[^|]*\|>")
 _FILLER = {"", "n a", "na", "null", "none", "nan", "nil", "vide", "aucun", "aucune", "rien", "empty", "neant", "todo", "tbd", "ras", "x", "xxx", "undefined", "reponse", "answer", "response"}
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"")
+_WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?…]+[.!?…]*")
 
 
@@ -149,37 +149,34 @@ def declines(answer: str) -> bool:
     return said
 
 
-def compressed_ratio(answer: str, prompt: str) -> float:
-    """Size of the compressed answer with the prompt as dictionary, to its size without; headers don't count."""
-    raw = answer.lower().encode()
-    alone = len(zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=False).compress(raw))
-    known = zstandard.ZstdCompressionDict(prompt.lower().encode() or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    given = len(zstandard.ZstdCompressor(level=6, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
-    return (given - OVERHEAD) / max(alone - OVERHEAD, 1)
+def compressed_ratio(text: str, known: str) -> float:
+    """Size of a compressed text with another as dictionary, to its size without; headers and the first match don't count."""
+    raw = text.encode("utf-8", "surrogatepass")
+    told = zstandard.ZstdCompressionDict(known.encode("utf-8", "surrogatepass") or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    plain = dict(level=3, write_checksum=False, write_content_size=False)
+    given = len(zstandard.ZstdCompressor(dict_data=told, write_dict_id=False, **plain).compress(raw))
+    return max(given - OVERHEAD - MATCH, 0) / max(len(zstandard.ZstdCompressor(**plain).compress(raw)) - OVERHEAD, 1)
 
 
 def copies(answer: str, prompt: str, last: str) -> bool:
     """Whether an answer gives back the prompt or the last message and no more.
 
-    The words of both must align to ``COPY_WORDS`` of either; up to three words
-    that introduce the copy don't count.  Targets of one or two words count
-    only if the answer has the very same.
+    Answer and message must each compress to ``COPY_RATIO`` with the other as
+    dictionary; up to three words that introduce the copy don't count.  The very
+    same words are a copy at any length.
     """
-    body = _TAG.sub(" ", answer)
+    body = _TAG.sub(" ", answer).strip().lower()
     said = words(body)
     if said and said in (words(last), words(prompt)):
         return True
-    if compressed_ratio(body, prompt + "\n" + last) > COPY_RATIO:
-        return False
-    for target in {last, prompt}:
-        asked = words(target)
-        if len(asked) < 3:
+    for target in dict.fromkeys((last.strip().lower(), prompt.strip().lower())):
+        first = words(target[:80])[:1]
+        if not first or len(said) < 3:
             continue
-        blocks = SequenceMatcher(None, said, asked, autojunk=False).get_matching_blocks()
-        same = sum(b.size for b in blocks)
-        lead = min(3, blocks[0].a) if same else 0
-        if same >= COPY_WORDS * max(len(said) - lead, len(asked)):
-            return True
+        starts = [m.start() for m, w in zip(_WORD.finditer(body), said[:4]) if w == first[0]]
+        for at in dict.fromkeys([0, *starts]):
+            if compressed_ratio(target, body[at:]) <= COPY_RATIO and compressed_ratio(body[at:], target) <= COPY_RATIO:
+                return True
     return False
 
 
