@@ -24,8 +24,10 @@ SPLITS = {"train": ("train", "entrainement"), "validation": ("validation", "vali
 GIANT = 1000
 #: Records of one block of smaller groups, assigned by one task.
 BLOCK = 20_000
-#: Labels beyond this number share strata by hash.
-STRATA = 64
+#: A label with at least one in so many records is a stratum; all rarer ones are one together.
+RARE = 1000
+#: Sizes of groups (of the same power of two) that are balanced like labels are; larger ones are one class.
+SIZES = 24
 
 
 def normal_split(value: Column) -> Column:
@@ -76,11 +78,12 @@ def divided(df: DataFrame, id_col: str = "id", split_col: str = "split", **cols:
 def place(sizes: np.ndarray, target: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Give each group (rows of label counts, largest first) to a split.
 
-    A group goes where the squared distance of label counts from their targets
-    (splits x labels) grows least, each label weighed by its frequency; ties go
-    to the split that lacks most.  ``held`` is updated.
+    A group goes where the chi-square distance of the counts from their targets
+    (splits x strata) grows least, so that all splits fill at one pace and get
+    their share of large groups too; ties go to the split that lacks most.
+    ``held`` is updated.
     """
-    weight = 1.0 / np.maximum(target.sum(0), 1.0)
+    weight = 1.0 / (np.maximum(target.sum(0), 1.0) * np.maximum(target, 0.5))
     out = np.zeros(len(sizes), np.int64)
     for i, v in enumerate(sizes):
         lack = target - held
@@ -92,64 +95,77 @@ def place(sizes: np.ndarray, target: np.ndarray, held: np.ndarray) -> np.ndarray
 
 
 def assign(df: DataFrame, proportions: dict[str, float], label_col: str = "specialite", id_col: str = "id", **cols: str) -> DataFrame:
-    """(id, groupe_id, strate, split_nouveau): new splits, no group divided.
-
-    ``proportions`` need not sum to one.  A group of more than a thousandth of
-    the records (there are fewer than a thousand) is placed first, on the
-    driver; the others in blocks of about ``BLOCK`` records, each towards what
-    the giants leave of every label.  Null labels are a label of their own.
-    The same input gives the same splits.
+    """(id, groupe_id, strate, taille, split_nouveau): new splits, no group divided.
+
+    ``proportions`` need not sum to one.  Strata are the labels and the classes
+    of group sizes, so that each split gets its share of every label and of large
+    groups as of single records.  A group of more than a thousandth of the records
+    (there are fewer than a thousand) is placed first, on the driver; the others
+    in blocks of about ``BLOCK`` records, each towards what the giants leave of
+    every stratum, to within a record or so per stratum and block.  Null labels
+    are a label of their own.  The same input gives the same splits.
     """
     names = list(proportions)
     share = np.array([proportions[k] for k in names], float)
     share /= share.sum()
     groups = record_groups(df, id_col, **cols)
     label = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(label_col).cast("string"), F.lit("")).alias("label")).groupBy("id").agg(F.min("label").alias("label"))
-    many = label.select(F.approx_count_distinct("label")).first()[0] > STRATA
-    stratum = F.pmod(F.xxhash64("label"), F.lit(STRATA)).cast("string") if many else F.col("label")
-    records = cut(groups.join(label.select("id", stratum.alias("strate")), "id"))
-    totals = {r["strate"]: r["n"] for r in records.groupBy("strate").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most about STRATA rows
-    strata = sorted(totals)
-    n = sum(totals.values())
+    n = label.count()
+    often = label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * RARE >= n).select("label")  # at most RARE rows
+    labels = label.join(F.broadcast(often.withColumn("strate", F.col("label"))), "label", "left")
+    records = cut(groups.join(labels.select("id", F.coalesce("strate", F.lit("(rares)")).alias("strate")), "id"))
     per = records.groupBy("root", "strate").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    whole = cut(per.groupBy("root").agg(F.sum("n").alias("size"), F.min("least").alias("groupe_id"), F.map_from_entries(F.collect_list(F.struct("strate", "n"))).alias("counts")))
-    target = share[:, None] * np.array([totals[s] for s in strata], float)
+    whole = cut(
+        per.groupBy("root").agg(F.sum("n").alias("size"), F.min("least").alias("groupe_id"), F.map_from_entries(F.collect_list(F.struct("strate", "n"))).alias("counts"))
+        .withColumn("taille", F.least(F.floor(F.log2("size")), F.lit(SIZES - 1)).cast("int"))
+    )
+    totals = {r["strate"]: r["n"] for r in records.groupBy("strate").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most RARE + 1 rows
+    strata = sorted(totals)
+    sizes = {r["taille"]: r["n"] for r in whole.groupBy("taille").agg(F.sum("size").alias("n")).collect()}  # at most SIZES rows
+    target = share[:, None] * np.array([totals[s] for s in strata] + [sizes.get(k, 0) for k in range(SIZES)], float)
     held = np.zeros_like(target)
 
-    def matrix(counts: list) -> np.ndarray:
-        return np.array([[dict(c).get(s, 0) for s in strata] for c in counts], float).reshape(len(counts), len(strata))
+    def matrix(counts: list, size: list, taille: list) -> np.ndarray:
+        out = np.zeros((len(counts), len(strata) + SIZES))
+        at = {s: i for i, s in enumerate(strata)}
+        for row, c, n, k in zip(out, counts, size, taille):
+            for s, v in dict(c).items():
+                row[at[s]] = v
+            row[len(strata) + k] = n
+        return out
 
     giants = whole.where(F.col("size") * GIANT > n).orderBy(F.desc("size"), "groupe_id").collect()  # fewer than GIANT rows
-    first = place(matrix([g["counts"] for g in giants]), target, held) if giants else []
+    first = place(matrix(*([g[c] for g in giants] for c in ("counts", "size", "taille"))), target, held) if giants else []
     left = np.maximum(target - held, 0)
     ratio = left / np.maximum(left.sum(0), 1e-9)
     blocks = max(1, n // BLOCK)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "groupe_id"], ascending=[False, True])
-        m = matrix(pdf["counts"].tolist())
+        m = matrix(*(pdf[c].tolist() for c in ("counts", "size", "taille")))
         got = place(m, ratio * m.sum(0), np.zeros_like(ratio))
-        return pd.DataFrame({"root": pdf["root"].to_numpy(), "groupe_id": pdf["groupe_id"].to_numpy(), "split_nouveau": [names[k] for k in got]})
+        return pd.DataFrame({"root": pdf["root"].to_numpy(), "groupe_id": pdf["groupe_id"].to_numpy(), "taille": pdf["taille"].to_numpy(), "split_nouveau": [names[k] for k in got]})
 
-    schema = "root string, groupe_id string, split_nouveau string"
+    schema = "root string, groupe_id string, taille int, split_nouveau string"
     small = (
         whole.where(F.col("size") * GIANT <= n)
         .withColumn("block", F.pmod(F.xxhash64("root"), F.lit(blocks)))
         .groupBy("block").applyInPandas(greedy, schema)
     )
-    big = df.sparkSession.createDataFrame([(g["root"], g["groupe_id"], names[k]) for g, k in zip(giants, first)], schema)
-    return records.join(small.unionByName(big), "root").select("id", "groupe_id", "strate", "split_nouveau")
+    big = df.sparkSession.createDataFrame([(g["root"], g["groupe_id"], g["taille"], names[k]) for g, k in zip(giants, first)], schema)
+    return records.join(small.unionByName(big), "root").select("id", "groupe_id", "strate", "taille", "split_nouveau")
 
 
 def balance(assigned: DataFrame, names: list[str]) -> DataFrame:
-    """Per new split: records, share, groups and the largest deviation of a
-    label's share from its share over all records."""
+    """Per new split: records, share, groups, groups of several records, and the
+    largest deviation of a label's share from its share over all records."""
     cell = assigned.groupBy("split_nouveau", "strate").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy()  # a row per split or label
     per = cell.groupBy("split_nouveau").agg(F.sum("n").alias("total")).withColumn("part", F.col("total") / F.sum("total").over(every))
     label = cell.groupBy("strate").agg(F.sum("n").alias("of_label")).withColumn("usual", F.col("of_label") / F.sum("of_label").over(every))
     grid = label.withColumn("split_nouveau", F.explode(F.array(*map(F.lit, names)))).join(per, "split_nouveau")
-    groups = assigned.groupBy("split_nouveau").agg(F.countDistinct("groupe_id").alias("n_groupes"))
+    group = assigned.groupBy("split_nouveau", "groupe_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = group.groupBy("split_nouveau").agg(F.count(F.lit(1)).alias("n_groupes"), F.count_if(F.col("n") > 1).alias("n_groupes_de_plusieurs"))
     return (
         grid.join(cell, ["split_nouveau", "strate"], "left")
         .withColumn("off", F.abs(F.coalesce("n", F.lit(0)) / F.col("total") - F.col("usual")))

@@ -29,6 +29,16 @@ def p1_balance(spark: SparkSession, folder: str) -> DataFrame:
     return group_splits.balance(group_splits.assign(table(spark, folder, "vignette"), PROPORTIONS), list(PROPORTIONS))
 
 
+def p1_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the new splits: every record once, no group divided, shares and large groups as wanted."""
+    a = group_splits.assign(table(spark, folder, "vignette"), PROPORTIONS)
+    per = a.groupBy("groupe_id").agg(F.countDistinct("split_nouveau").alias("s"), F.count(F.lit(1)).alias("n"), F.min("split_nouveau").alias("split"))
+    total = F.sum("n")
+    near = lambda k, p: F.abs(F.sum(F.when(F.col("split") == k, F.col("n")).otherwise(0)) / total - p) < 0.01
+    several = F.count_if((F.col("n") > 1) & (F.col("split") != "train")) > 0
+    return per.agg(total.alias("n_fiches"), F.count(F.lit(1)).alias("n_groupes"), F.count_if(F.col("s") > 1).alias("n_divises"), F.forall(F.array(*(near(k, p) for k, p in PROPORTIONS.items())), lambda x: x).alias("parts_tenues"), several.alias("groupes_hors_train"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.SplitOverlap(table(spark, folder, "vignette")).found()
 
@@ -114,7 +124,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p1_balance, p2_found, p2_overlaps, p2_report, p3_found, p3_report, p4_found, p4_redacted, p4_report, p6_found, p6_classes,
+        p1_found, p1_splits, p1_balance, p1_checked, p2_found, p2_overlaps, p2_report, p3_found, p3_report, p4_found, p4_redacted, p4_report, p6_found, p6_classes,
         p7_pack, p7_rooms, p7_report, p8_mix, p8_shares, p9_found, p9_rates, p9_limits,
     )
 }
@@ -131,6 +141,7 @@ _WORDS = """t as (select distinct id, """ + _SPLIT + """ as s, list_distinct(reg
 #: Brute force; only for tables as small as the checked ones.
 SQL: dict[str, str] = {
     "p1_found": f"with recursive {_GROUPS}, x as (select groupe_id from v join g using (id) group by groupe_id having count(distinct s) > 1) select id, groupe_id from g join x using (groupe_id)",
+    "p1_checked": f"with recursive {_GROUPS} select cast(count(distinct id) as bigint) as n_fiches, count(distinct groupe_id) as n_groupes, cast(0 as bigint) as n_divises, true as parts_tenues, true as groupes_hors_train from g",
     "p2_found": f"with {_WORDS} select distinct least(a.id, b.id) as id_1, greatest(a.id, b.id) as id_2 from p join m a on a.h = h1 join m b on b.h = h2 where a.id <> b.id and (a.s = 'train') <> (b.s = 'train')",
     "p6_found": f"with {_WORDS} select distinct least(a.id, b.id) as id_1, greatest(a.id, b.id) as id_2 from p join m a on a.h = h1 join m b on b.h = h2 where a.id <> b.id",
 }

@@ -63,14 +63,14 @@ def test_compression_decides_copies(monkeypatch):
     copy = "Alors : j'ai mal au ventre depuis trois jours, et je ne sais pas si je peux manger ce soir !!"
     changed = copy.replace("trois", "quatre")
     quotation = f"Vous dites : « {asked[:-1]} ». Bien noté, depuis quand exactement avez-vous de la fièvre, et combien ?"
-    assert pair_defects.copies(copy, asked, asked) and pair_defects.copies(changed, asked, asked)
-    assert not pair_defects.copies(quotation, asked, asked) and not pair_defects.copies(asked[:40], asked, asked)
-    monkeypatch.setattr(pair_defects, "compressed_ratio", lambda text, known: 1.0)
-    assert not pair_defects.copies(changed, asked, asked)
+    assert P.copies(copy, asked, asked) and P.copies(changed, asked, asked)
+    assert not P.copies(quotation, asked, asked) and not P.copies(asked[:40], asked, asked)
+    monkeypatch.setattr(P, "compressed_ratio", lambda text, known: 1.0)
+    assert not P.copies(changed, asked, asked)
 
 
 def test_terminal_model_learns_what_ends():
     """What stands at the end is learnt, not laid down: here a semicolon ends answers."""
     whole = [f"Restez allongé {k} minutes et rappelez ensuite le centre.;)" for k in range(200)]
-    model = pair_defects.train_terminal(whole)
+    model = P.train_terminal(whole)
     assert model.log_odds("Restez allongé et rappelez ensuite le centre.;)") < 0 < model.log_odds("Restez allongé et rapp")
