@@ -5,7 +5,8 @@ maximum likelihood (EM): texts at a candidate limit, in characters or in bytes,
 are censored, the others are whole.  A length is a candidate limit if far more
 texts have it than the distribution explains; the excess is the probability
 that a text of this length was censored there.  This and the evidence of the
-ending are added as log-odds.
+ending are added as log-odds; how much each kind of ending speaks for a cut is
+fitted on the table itself, by EM over posteriors and kinds of ending.
 
 The ending: a mark that closes a sentence or a tag speaks for a whole text, as
 does a closing formula.  Formulas are learnt: last lines or last pieces of text
@@ -48,10 +49,18 @@ ABBREVIATED = re.compile(r"(?:^|[\s(])(?:dr|pr|mme|mlle|mr|mrs|ms|st|ste|cf|env|
 SEGMENT = re.compile(r"[^.!?\n]*$")
 #: Longest piece that can be a formula; texts that must end with it; most that may go on from it.
 LONGEST, TIMES, GO_ON = 60, 2, 0.25
-#: Log-odds of being cut by the ending: a cut mark, a whole ending, one that also stands inside a sentence, a closing formula, anything else.
-#: The posterior, between FLOOR and CEILING (log-odds -2.2 to 9.2), outweighs only the ending inside a sentence.
-MARKED, CLOSED, OPEN, FORMULA, BROKEN = 6.0, -10.0, -4.0, -10.0, 4.0
-FLOOR, CEILING = 0.1, 0.9999
+#: Letters of a piece that are looked up first.
+HEAD = 6
+PIECES = re.compile(r"[.!?\n]+")
+#: Slots of the filter of candidate formulas that goes to all tasks (a table of fixed size).
+SLOTS = 1 << 20
+#: Kinds of endings: a cut mark, a whole one, one that also stands inside a sentence, a closing formula, anything else.
+KINDS = ("marque", "entiere", "ouverte", "formule", "rompue")
+#: What is known of the kinds before a table is seen, as counts among whole and cut texts.
+BEFORE_WHOLE = (0.1, 1000.0, 50.0, 100.0, 1.0)
+BEFORE_CUT = (50.0, 0.0, 1.0, 0.0, 1000.0)
+#: A text that ends with a sentence or a formula stops in neither a word nor a sentence, by definition; this log-odds says so.
+NEVER = -1000.0
 SHAPE = "doc_id bigint, source string, chars int, bytes int, whole boolean, mark boolean, segment string, inside boolean, texte bigint"
 LIMITS = "source string, unite string, limite int, n bigint, attendu double, posterieur double, mu double, sigma double, n_textes bigint"
 
@@ -165,8 +174,8 @@ def source_limits(pdf: pd.DataFrame, least: int = 5, excess: float = 6.0) -> lis
     ]
 
 
-def limits(shaped: DataFrame) -> DataFrame:
-    """The candidate limits of all sources, as ``LIMITS``."""
+def unit_limits(shaped: DataFrame) -> DataFrame:
+    """The candidate limits of all sources in each unit by itself, as ``LIMITS``."""
     at = F.explode(F.array(F.struct(F.lit("caracteres").alias("unite"), F.col("chars").alias("length")), F.struct(F.lit("octets").alias("unite"), F.col("bytes").alias("length"))))
     long = shaped.select("source", at.alias("a")).select("source", "a.*")
     # exact lengths, of which there are at most as many as the longest text has bytes
@@ -179,36 +188,104 @@ def limits(shaped: DataFrame) -> DataFrame:
     return counts.groupBy("source", "unite").applyInPandas(per_source, LIMITS)
 
 
+def limits(shaped: DataFrame) -> DataFrame:
+    """The candidate limits of all sources, as ``LIMITS``.
+
+    Texts at a limit of one unit lie close together in the other unit too.  So
+    the unit with the largest excess at one length comes first in each source;
+    limits of the other unit are sought among the texts that its limits leave.
+    """
+    found = unit_limits(shaped).persist(StorageLevel.MEMORY_AND_DISK)
+    main = found.groupBy("source").agg(F.max_by("unite", F.struct(F.col("n") - F.col("attendu"), "unite")).alias("unite"))
+    first = found.join(main, ["source", "unite"], "left_semi")
+    size = F.when(F.col("unite") == "caracteres", F.col("chars")).otherwise(F.col("bytes"))
+    left = shaped.join(main, "source", "left").withColumn("limite", size).join(first.select("source", "unite", "limite"), ["source", "unite", "limite"], "left_anti")
+    other = unit_limits(left.select("source", "chars", "bytes")).join(main, ["source", "unite"], "left_anti")
+    return first.select(*found.columns).unionByName(other.select(*found.columns))
+
+
+def slot(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % SLOTS
+
+
 def formulas(shaped: DataFrame, texts: DataFrame) -> DataFrame:
     """(segment): closing formulas of the table.
 
-    Candidates end at least ``TIMES`` different texts and one in 100,000 of all, so there
-    are fewer than 100,000; how often a text goes on from one is counted over
-    all sentences and lines.
+    ``shaped`` has the posterior ``p_limite``; a text that was censored at a limit
+    is no witness, so candidates end at least ``TIMES`` different texts that
+    probably were not.  How often a text goes on from one is counted over all
+    sentences and lines: tasks get a filter of the candidates, of a fixed size, a
+    piece of text that passes it sends its beginnings, and the join by shuffle
+    counts exactly.
     """
     ends = shaped.where(~F.col("whole") & (F.length("segment").between(2, LONGEST)))
-    n = shaped.count()
-    ended = ends.select("segment", "texte").distinct().groupBy("segment").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= TIMES) & (F.col("n") * 100_000 >= n))
-    wanted = {r["segment"] for r in ended.select("segment").collect()}
-    by_first: dict[str, list[str]] = {}
-    for s in wanted:
-        by_first.setdefault(s[:2], []).append(s)
+    per = ends.groupBy("segment", "texte").agg(F.min("p_limite").alias("p"))
+    ended = per.groupBy("segment").agg(F.sum(1 - F.col("p")).alias("n")).where(F.col("n") >= TIMES - 0.5).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({slot(x) for s in b.column(0).to_pylist() for x in (s, "+" + s[:HEAD])}), pa.int32())], names=["slot"])
+
+    passing = np.zeros(SLOTS, bool)
+    passing[ended.select("segment").mapInArrow(slots, "slot int").distinct().toPandas()["slot"].to_numpy(np.int64)] = True  # at most SLOTS rows
+    bits = np.packbits(passing).tobytes()
 
     def going_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        held = np.unpackbits(np.frombuffer(bits, np.uint8)).tolist()
+        short: dict[str, list[str]] = {}  # what the first letters of a piece pass
+
+        def passed(head: str) -> list[str]:
+            if len(short) > SLOTS:
+                short.clear()
+            short[head] = [head[:k] for k in range(2, min(HEAD, len(head))) if held[slot(head[:k])]] + (["+"] if len(head) == HEAD and held[slot("+" + head)] else [])
+            return short[head]
+
         for b in batches:
+            seen: Counter[str] = Counter()
             for t in b.column(0).to_pylist():
-                for piece in re.split(r"[.!?\n]+", fold(t)):
-                    piece = " ".join(piece.split())
-                    for s in by_first.get(piece[:2], ()):
-                        if len(piece) > len(s) and piece.startswith(s):
-                            seen[s] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["segment", "m"])
+                for piece in PIECES.split(fold(t)):
+                    piece = " ".join(piece[: 3 * LONGEST].split())
+                    head = piece[:HEAD]
+                    for start in short[head] if head in short else passed(head):
+                        if start != "+":
+                            seen[start] += 1
+                            continue
+                        for k in range(HEAD, min(LONGEST + 1, len(piece))):
+                            if held[slot(piece[:k])]:
+                                seen[piece[:k]] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["segment", "m"])
 
     on = texts.select("text").mapInArrow(going_on, "segment string, m bigint").groupBy("segment").agg(F.sum("m").alias("m"))
     return ended.join(on, "segment", "left").where(F.coalesce("m", F.lit(0)) <= F.col("n") * GO_ON).select("segment")
 
 
+def fit_endings(counts: pd.DataFrame, rounds: int = 200) -> tuple[dict[str, float], float]:
+    """Log-odds of being cut for each kind of ending, and those of a text away from all limits.
+
+    ``counts`` has ``fin`` (a kind), ``p`` (the posterior, 0 away from limits) and
+    ``n``.  EM: whether a text is cut is hidden; its prior is its posterior of
+    censoring, or away from limits one rate for the table.
+    """
+    kind = np.array([KINDS.index(k) for k in counts["fin"]], int)
+    p, n = counts["p"].to_numpy(float), counts["n"].to_numpy(float)
+    away = p <= 0
+    rate = 0.02
+    whole, cut = (np.array(x) / sum(x) for x in (BEFORE_WHOLE, BEFORE_CUT))
+    for _ in range(rounds):
+        prior = np.clip(np.where(away, rate, p), 1e-6, 1 - 1e-6)
+        a, b = prior * cut[kind], (1 - prior) * whole[kind]  # no kind that is never cut becomes one
+        q = a / (a + b)
+        new = float(((q * n)[away].sum() + 1.0) / (n[away].sum() + 50.0))
+        cut = np.bincount(kind, q * n, len(KINDS)) + np.array(BEFORE_CUT)
+        whole = np.bincount(kind, (1 - q) * n, len(KINDS)) + np.array(BEFORE_WHOLE)
+        cut, whole = cut / cut.sum(), whole / whole.sum()
+        if abs(new - rate) < 1e-9:
+            break
+        rate = new
+    weight = np.where(cut > 0, np.log(np.maximum(cut, 1e-300) / whole), NEVER)
+    return dict(zip(KINDS, weight.tolist())), math.log(rate / (1 - rate))
+
+
 class Truncation:
     """Truncated texts of a table with ``doc_id``, ``text`` and ``source``.
 
@@ -224,25 +301,31 @@ class Truncation:
         self.shaped = self.texts.mapInArrow(shapes, SHAPE).distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
     def scored(self) -> DataFrame:
-        """Per text the censoring posterior at its length, the evidence of the
-        ending and their sum as log-odds of being cut."""
-        found = formulas(self.shaped, self.texts).withColumn("formule", F.lit(True))
-        limit = limits(self.shaped).select("source", "unite", "limite", "posterieur")
+        """Per text the censoring posterior at its length, the kind of its ending
+        and the sum of both evidences as log-odds of being cut."""
+        limit = limits(self.shaped).select("source", "unite", "limite", "posterieur").persist(StorageLevel.MEMORY_AND_DISK)
         per = {
             u: limit.where(F.col("unite") == u).select("source", F.col("limite").alias(c), F.col("posterieur").alias(f"p_{c}"))
             for u, c in (("caracteres", "chars"), ("octets", "bytes"))
         }
-        rows = self.shaped.join(found, "segment", "left").join(per["caracteres"], ["source", "chars"], "left").join(per["octets"], ["source", "bytes"], "left")
+        at_limit = self.shaped.join(per["caracteres"], ["source", "chars"], "left").join(per["octets"], ["source", "bytes"], "left")
+        at_limit = at_limit.withColumn("p_limite", F.coalesce(F.greatest("p_chars", "p_bytes"), F.lit(0.0)))
+        found = formulas(at_limit, self.texts).withColumn("formule", F.lit(True))
+        rows = at_limit.join(found, "segment", "left")
         closer = F.col("segment").rlike(rf"^(?:{CLOSERS})\W*$")
         complete = F.coalesce("formule", F.lit(False)) | closer
-        p = F.least(F.lit(CEILING), F.greatest(F.lit(FLOOR), F.coalesce(F.greatest("p_chars", "p_bytes"), F.lit(0.0))))
+        marked, whole, open_, formula, broken = KINDS
         ending = (
-            F.when(F.col("mark") & ~F.col("whole") & ~complete, MARKED).when(F.col("whole") & F.col("inside"), OPEN)
-            .when(F.col("whole"), CLOSED).when(complete, FORMULA).otherwise(BROKEN)
-        )
-        return rows.withColumn("p_limite", p).withColumn("fin", ending).withColumn("log_odds", F.log(p / (1 - p)) + F.col("fin")).select(
-            "doc_id", "source", "chars", "bytes", "whole", "mark", "segment", "p_limite", "fin", "log_odds"
+            F.when(F.col("mark") & ~F.col("whole") & ~complete, marked).when(F.col("whole") & F.col("inside"), open_)
+            .when(F.col("whole"), whole).when(complete, formula).otherwise(broken)
         )
+        kinds = rows.withColumn("fin", ending).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = kinds.groupBy("fin", F.round("p_limite", 4).alias("p")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 10,001 rows a kind
+        weight, away = fit_endings(counts)
+        p = F.col("p_limite")
+        at = F.when(p <= 0, F.lit(away)).when(p >= 1, F.lit(36.0)).otherwise(F.log(p / (1 - p)))
+        told = F.coalesce(*(F.when(F.col("fin") == k, F.lit(w)) for k, w in weight.items()))
+        return kinds.withColumn("log_odds", at + told).select("doc_id", "source", "chars", "bytes", "whole", "mark", "segment", "p_limite", "fin", "log_odds")
 
     def found(self) -> DataFrame:
         """(doc_id) of the texts that are more likely cut than not."""

@@ -85,3 +85,30 @@ def test_limit_outweighs_a_quotation(spark):
     rows += [(2000, ("mot " * 100)[:293] + "« oui »", "s"), (2001, "Il a répondu « oui »", "s"), (2002, ("mot " * 100)[:299] + ".", "s")]
     got = {x["doc_id"] for x in T.Truncation(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).found().collect()}
     assert got == {*range(300), 2000}
+
+
+def test_censored_texts_are_no_witnesses_of_a_formula(spark):
+    """Texts cut alike at a limit end alike; without the posterior their end would pass for a formula."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    rows = [(k, " ".join(word() for _ in range(r.randint(20, 90))) + ".", "s") for k in range(400)]
+    rows += [(1000 + k, (" ".join(word() for _ in range(80)))[:293] + " zoo ab", "s") for k in range(60)]
+    rows += [(2000 + k, " ".join(word() for _ in range(30 + k)) + ". Le service", "s") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {x["doc_id"] for x in T.Truncation(df).found().collect()}
+    assert found >= {1000 + k for k in range(60)} and not found & {2000 + k for k in range(6)}
+
+
+def test_limit_in_one_unit_is_none_in_the_other(spark):
+    rows = [(k, ("é" * (k % 25) + "mot " * 200)[:500], "s") for k in range(300)] + [(1000 + k, "mot " * (40 + k) + "fin.", "s") for k in range(60)]
+    t = T.Truncation(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {(x["unite"], x["limite"]) for x in T.limits(t.shaped).collect()} == {("caracteres", 500)}
+
+
+def test_fitted_endings():
+    import pandas as pd
+
+    counts = pd.DataFrame([("entiere", 0.0, 900), ("ouverte", 0.0, 30), ("rompue", 0.0, 10), ("rompue", 0.99, 60), ("ouverte", 0.99, 12), ("marque", 0.99, 5)], columns=["fin", "p", "n"])
+    more, away = T.fit_endings(counts)
+    fewer, _ = T.fit_endings(counts.assign(n=[900, 300, 10, 60, 0, 5]))
+    assert more["ouverte"] > fewer["ouverte"] and more["rompue"] > 3 and more["entiere"] == T.NEVER and away < -2
