@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -10,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType
 
-#: A vocabulary file of the ``tokenizers`` library; any other may be given.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: A rank file of byte-level merges (``tiktoken``) or a JSON file of the ``tokenizers`` library; any other may be given.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern that splits text before the merges of the public rank files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary(spark: SparkSession, path: str = TOKENIZER):
@@ -21,17 +24,25 @@ def vocabulary(spark: SparkSession, path: str = TOKENIZER):
 
 
 def load(text: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    """The tokenizer of a vocabulary file's text: a JSON document, else ranks."""
+    if text.lstrip().startswith("{"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(text)
-    t.encode_special_tokens = True
-    t.no_truncation()
-    t.no_padding()
-    return t
+        t = Tokenizer.from_str(text)
+        t.encode_special_tokens = True
+        t.no_truncation()
+        t.no_padding()
+        return t
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in text.splitlines() if line.strip())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def counts(tokenizer, texts: list[str]) -> list[int]:
+    if hasattr(tokenizer, "encode_ordinary"):
+        return [len(tokenizer.encode_ordinary(t)) for t in texts]
     return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 

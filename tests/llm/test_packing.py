@@ -47,3 +47,13 @@ def test_pack(spark):
     assert K.rooms(out, kinds).where("vide < 0").count() == 0
     assert min(x["rempli"] for x in K.report(out, kinds).collect()) > 0.85
     assert K.pack(df.limit(0), kinds).count() == 0
+
+
+def test_both_kinds_of_vocabulary_count_alike():
+    from pathlib import Path
+
+    from clinmill.llm import tokens
+
+    texts = ["", "L'été, 12,5 mg  de\n\n\tParacétamol…", "don't <|endoftext|> stop", "a" * 20_000, "日本語 � é"]
+    ranks, merges = (tokens.load(Path(p).read_text(encoding="utf-8")) for p in (tokens.TOKENIZER, "/opt/tokenizers/byte_bpe_50k.json"))
+    assert tokens.counts(ranks, texts) == tokens.counts(merges, texts)
