@@ -89,6 +89,10 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = TO
     return given.mapInArrow(run, KEYED).where("jetons > 0")
 
 
+#: Texts of the stretch of the curve that one task packs (its arrays hold twelve bytes a text).
+STRETCH = 16_384
+
+
 def fit_block(sizes: list[int], capacity: int) -> list[list[int]]:
     """Best fit, largest first: the items (by index) of each container."""
     bins: list[list[int]] = []
@@ -126,7 +130,7 @@ def pack_stream(items: Iterator[tuple[int, int, int]], capacity: int, block: int
                 yield held
             else:
                 rest += held
-        # if next to nothing could be closed, the fullest are closed as they are
+        # if next to nothing could be closed, what is left is closed as it is
         if len(rest) > block // 2:
             for b in fit_block([w[2] for w in rest], capacity):
                 yield [rest[i] for i in b]
@@ -154,10 +158,11 @@ def pack(df: DataFrame, containers: DataFrame, path: str = TOKENIZER) -> DataFra
     ``containers`` has a row per kind (conteneur_no, capacite_jetons).  Null
     and empty texts take no room and have no row; equal texts are neighbours,
     told apart by ``doc_id``.  ``conteneur`` names one container of its kind.
+    Each task packs a stretch of about ``STRETCH`` texts, whatever the settings.
     """
     kinds = [(r[0], r[1]) for r in containers.select("conteneur_no", "capacite_jetons").where("capacite_jetons > 0").orderBy("conteneur_no").collect()]  # a row per kind
     curve = keyed(df, path=path).persist(StorageLevel.MEMORY_AND_DISK)  # the range sort reads it twice
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-curve.count() // STRETCH))
     sorted_ = curve.repartitionByRange(tasks, "cle", "doc_id").sortWithinPartitions("cle", "doc_id").withColumn("tache", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

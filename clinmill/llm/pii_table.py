@@ -349,17 +349,19 @@ def _fill(template: str, f: Filler) -> list[tuple[str, str]]:
     return out
 
 
-def labelled_texts(n: int, seed: int = 11) -> list[list[tuple[str, str]]]:
+def labelled_texts(n: int, seed: int = 11, fifth: int | None = None, held_out: bool = False) -> list[list[tuple[str, str]]]:
     """``n`` short texts as pieces with labels: two to four sentences each, some
-    in capitals or without accents."""
+    in capitals or without accents.  With ``fifth`` (0 to 4), that fifth of the
+    sentences is left out or, ``held_out``, alone used."""
     import unicodedata
 
     f = Filler(seed)
+    positive, negative = ([t for k, t in enumerate(table) if fifth is None or (k % 5 == fifth) == held_out] for table in (POSITIVE, NEGATIVE))
     out = []
     for k in range(n):
-        some = [POSITIVE[k % len(POSITIVE)]] + [f.r.choice(NEGATIVE) for _ in range(f.r.choice((1, 1, 2)))]
+        some = [positive[k % len(positive)]] + [f.r.choice(negative) for _ in range(f.r.choice((1, 1, 2)))]
         if f.r.random() < 0.3:
-            some.append(f.r.choice(POSITIVE))
+            some.append(f.r.choice(positive))
         f.r.shuffle(some)
         pieces: list[tuple[str, str]] = []
         for s in some:

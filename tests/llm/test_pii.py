@@ -82,3 +82,12 @@ def test_tables(spark):
 def test_english_addresses(tagger, text, start):
     got = [a for k, a, _ in tagger([text])[0] if k == "adresse"]
     assert got == ([text.index(start)] if start else [])
+
+
+def test_unseen_wording():
+    """A fifth of the labelled sentences is left out of training and alone tested."""
+    tagger = P.Tagger(P.train(labelled_texts(2400, fifth=0)))
+    texts, want = zip(*(spans(p) for p in labelled_texts(400, seed=99, fifth=0, held_out=True)))
+    t = {(i, *s) for i, w in enumerate(want) for s in w}
+    g = {(i, k, a) for i, r in enumerate(tagger(list(texts))) for k, a, _ in r}
+    assert len(t & g) / len(t) > 0.8 and len(t & g) / len(g) > 0.9
