@@ -56,9 +56,11 @@ PIECES = re.compile(r"[.!?\n]+")
 SLOTS = 1 << 20
 #: Kinds of endings: a cut mark, a whole one, one that also stands inside a sentence, a closing formula, anything else.
 KINDS = ("marque", "entiere", "ouverte", "formule", "rompue")
-#: What is known of the kinds before a table is seen, as counts among whole and cut texts.
+#: What is known of the kinds before a table is seen, as counts among whole and among cut texts of 5,000; they
+#: grow with the table, so that it is weighed against them alike at every size.
 BEFORE_WHOLE = (0.1, 1000.0, 50.0, 100.0, 1.0)
 BEFORE_CUT = (50.0, 0.0, 1.0, 0.0, 1000.0)
+BEFORE_TEXTS, BEFORE_RATE = 5000, 0.02
 #: A text that ends with a sentence or a formula stops in neither a word nor a sentence, by definition; this log-odds says so.
 NEVER = -1000.0
 SHAPE = "doc_id bigint, source string, chars int, bytes int, whole boolean, mark boolean, segment string, inside boolean, texte bigint"
@@ -266,18 +268,21 @@ def fit_endings(counts: pd.DataFrame, rounds: int = 200) -> tuple[dict[str, floa
     ``n``.  EM: whether a text is cut is hidden; its prior is its posterior of
     censoring, or away from limits one rate for the table.
     """
+    if not len(counts):
+        counts = pd.DataFrame({"fin": [KINDS[1]], "p": [0.0], "n": [1]})
     kind = np.array([KINDS.index(k) for k in counts["fin"]], int)
     p, n = counts["p"].to_numpy(float), counts["n"].to_numpy(float)
     away = p <= 0
-    rate = 0.02
+    rate = BEFORE_RATE
+    scale = n.sum() / BEFORE_TEXTS
     whole, cut = (np.array(x) / sum(x) for x in (BEFORE_WHOLE, BEFORE_CUT))
     for _ in range(rounds):
         prior = np.clip(np.where(away, rate, p), 1e-6, 1 - 1e-6)
         a, b = prior * cut[kind], (1 - prior) * whole[kind]  # no kind that is never cut becomes one
         q = a / (a + b)
-        new = float(((q * n)[away].sum() + 1.0) / (n[away].sum() + 50.0))
-        cut = np.bincount(kind, q * n, len(KINDS)) + np.array(BEFORE_CUT)
-        whole = np.bincount(kind, (1 - q) * n, len(KINDS)) + np.array(BEFORE_WHOLE)
+        new = float(((q * n)[away].sum() + BEFORE_RATE * 100 * scale) / max(n[away].sum() + 100 * scale, 1e-9))
+        cut = np.bincount(kind, q * n, len(KINDS)) + scale * np.array(BEFORE_CUT)
+        whole = np.bincount(kind, (1 - q) * n, len(KINDS)) + scale * np.array(BEFORE_WHOLE)
         cut, whole = cut / cut.sum(), whole / whole.sum()
         if abs(new - rate) < 1e-9:
             break
