@@ -33,6 +33,8 @@ SAMPLE, CUTS = 2000, 3
 COPY_RATIO = 0.25
 #: Bytes of frame and block headers in any compressed text.
 OVERHEAD = 9
+#: A copy is at most so many times as long as what it copies, and the reverse.
+LONGER = 4
 #: Bytes of the one match that a whole copy is.
 MATCH = 4
 # Frequent function words by language.
@@ -175,6 +177,9 @@ def copies(answer: str, prompt: str, last: str) -> bool:
             continue
         starts = [m.start() for m, w in zip(_WORD.finditer(body), said[:4]) if w == first[0]]
         for at in dict.fromkeys([0, *starts]):
+            # what is so much longer has more to it than the other, so it can't shrink that far
+            if not LONGER * len(target) >= len(body) - at >= len(target) / LONGER:
+                continue
             if compressed_ratio(target, body[at:]) <= COPY_RATIO and compressed_ratio(body[at:], target) <= COPY_RATIO:
                 return True
     return False
