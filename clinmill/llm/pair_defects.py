@@ -50,6 +50,8 @@ FUNCTION_WORDS = {
 _LANGUAGES = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
 _SHARED = {w: sum(w in s for s in _LANGUAGES.values()) for s in _LANGUAGES.values() for w in s}
 
+_OF = {w: [k for k, s in _LANGUAGES.items() if w in s] for w in _SHARED}
+
 # What an answer that declines says (folded, by language), and what may stand around it.
 REFUSALS = {
     "fr": [
@@ -114,7 +116,11 @@ def last_patient(prompt: str) -> str:
 def language_scores(text: str) -> tuple[dict[str, float], int]:
     """Function words of each language, shared ones weighed by how many languages have them; number of words."""
     found = re.findall(r"[^\W\d_]+", text.lower())
-    return {k: sum(1.0 / _SHARED[w] for w in found if w in s) for k, s in _LANGUAGES.items()}, len(found)
+    score = dict.fromkeys(_LANGUAGES, 0.0)
+    for w in found:
+        for k in _OF.get(w, ()):
+            score[k] += 1.0 / _SHARED[w]
+    return score, len(found)
 
 
 def language(text: str) -> str | None:
@@ -160,16 +166,16 @@ def compressed_ratio(text: str, known: str) -> float:
     return max(given - OVERHEAD - MATCH, 0) / max(len(zstandard.ZstdCompressor(**plain).compress(raw)) - OVERHEAD, 1)
 
 
-def copies(answer: str, prompt: str, last: str) -> bool:
+def copies(answer: str, prompt: str, last: str, asked: tuple[list[str], ...] | None = None) -> bool:
     """Whether an answer gives back the prompt or the last message and no more.
 
     Answer and message must each compress to ``COPY_RATIO`` with the other as
     dictionary; up to three words that introduce the copy don't count.  The very
-    same words are a copy at any length.
+    same words are a copy at any length.  ``asked``: the words of both, if known.
     """
     body = _TAG.sub(" ", answer).strip().lower()
     said = words(body)
-    if said and said in (words(last), words(prompt)):
+    if said and said in (asked or (words(last), words(prompt))):
         return True
     for target in dict.fromkeys((last.strip().lower(), prompt.strip().lower())):
         first = words(target[:80])[:1]
@@ -227,27 +233,39 @@ def train_terminal(texts: list[str], seed: int = 7) -> TerminalModel:
     return TerminalModel(complete, cut)
 
 
-def defect(prompt: str | None, context_last: str | None, value: str | None, model: TerminalModel, told: str | None = None) -> str | None:
+class Asked:
+    """What the answers to one prompt are held against."""
+
+    def __init__(self, prompt: str | None, context_last: str | None, told: str | None = None) -> None:
+        self.prompt = prompt or ""
+        self.last = context_last or last_patient(self.prompt)
+        self.words = (words(self.last), words(self.prompt))
+        self.language = language(self.prompt) or ({"fr": "fr", "en": "en"}.get((told or "").lower()[:2]))
+
+
+def defect_of(asked: Asked, value: str | None, model: TerminalModel) -> str | None:
     """The defect of one answer, or null."""
     answer, broken = answer_text(value)
-    prompt = prompt or ""
     if broken:
         return "tronquee"
     if " ".join(words(_TAG.sub(" ", answer))) in _FILLER:
         return "vide"
-    last = context_last or last_patient(prompt)
-    if copies(answer, prompt, last):
+    if copies(answer, asked.prompt, asked.last, asked.words):
         return "copie_question"
-    lang = language(prompt) or ({"fr": "fr", "en": "en"}.get((told or "").lower()[:2]))
-    if other_language(answer, lang):
+    if other_language(answer, asked.language):
         return "autre_langue"
     if declines(answer):
         return "refus"
-    if model.log_odds(_TAG.sub("", answer) if answer.rstrip().endswith("]]") else answer) > 0 and not answer.rstrip().endswith("]]"):
+    if not answer.rstrip().endswith("]]") and model.log_odds(answer) > 0:
         return "tronquee"
     return None
 
 
+def defect(prompt: str | None, context_last: str | None, value: str | None, model: TerminalModel, told: str | None = None) -> str | None:
+    """The defect of one answer to a prompt, or null."""
+    return defect_of(Asked(prompt, context_last, told), value, model)
+
+
 def defects(df: DataFrame, key: str = "paire_id") -> DataFrame:
     """(paire_id, champ, defaut), one row per bad answer.
 
@@ -271,8 +289,9 @@ def defects(df: DataFrame, key: str = "paire_id") -> DataFrame:
         for b in batches:
             ids, fields, kinds = [], [], []
             for i, prompt, last, lang, chosen, rejected in zip(*(c.to_pylist() for c in b.columns)):
+                asked = Asked(prompt, last, lang)
                 for field, value in (("chosen", chosen), ("rejected", rejected)):
-                    kind = defect(prompt, last, value, model, lang)
+                    kind = defect_of(asked, value, model)
                     if kind:
                         ids.append(i)
                         fields.append(field)
