@@ -101,6 +101,17 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(p7_pack(spark, folder), table(spark, folder, "conteneur"))
 
 
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold per kind: every text with content placed, no container above its capacity, no text cut that fits."""
+    packed, kinds = p7_pack(spark, folder), table(spark, folder, "conteneur")
+    full = packing.rooms(packed, kinds).groupBy("conteneur_no").agg(F.count_if(F.col("vide") < 0).alias("n_trop_pleins"))
+    text = packed.groupBy("conteneur_no", "doc_id").agg(F.sum("jetons").alias("jetons"), F.count(F.lit(1)).alias("n"), F.countDistinct("morceau").alias("m")).join(F.broadcast(kinds), "conteneur_no")
+    per = text.groupBy("conteneur_no").agg(
+        F.count(F.lit(1)).alias("n_textes"), F.count_if((F.col("jetons") <= F.col("capacite_jetons")) & (F.col("n") > 1)).alias("n_coupes_a_tort"), F.count_if(F.col("n") > F.col("m")).alias("n_doubles")
+    )
+    return per.join(full, "conteneur_no")
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return Mix(table(spark, folder, "documents"), table(spark, folder, "source_cible")).chosen()
 
@@ -125,7 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_splits, p1_balance, p1_checked, p2_found, p2_overlaps, p2_report, p3_found, p3_report, p4_found, p4_redacted, p4_report, p6_found, p6_classes,
-        p7_pack, p7_rooms, p7_report, p8_mix, p8_shares, p9_found, p9_rates, p9_limits,
+        p7_pack, p7_rooms, p7_report, p7_checked, p8_mix, p8_shares, p9_found, p9_rates, p9_limits,
     )
 }
 _SPLIT = "case when lower(trim(split)) in ('train', 'entrainement') then 'train' when lower(trim(split)) in ('validation', 'valid', 'dev') then 'validation' when lower(trim(split)) = 'test' then 'test' end"
@@ -143,6 +154,8 @@ SQL: dict[str, str] = {
     "p1_found": f"with recursive {_GROUPS}, x as (select groupe_id from v join g using (id) group by groupe_id having count(distinct s) > 1) select id, groupe_id from g join x using (groupe_id)",
     "p1_checked": f"with recursive {_GROUPS} select cast(count(distinct id) as bigint) as n_fiches, count(distinct groupe_id) as n_groupes, cast(0 as bigint) as n_divises, true as parts_tenues, true as groupes_hors_train from g",
     "p2_found": f"with {_WORDS} select distinct least(a.id, b.id) as id_1, greatest(a.id, b.id) as id_2 from p join m a on a.h = h1 join m b on b.h = h2 where a.id <> b.id and (a.s = 'train') <> (b.s = 'train')",
+    "p7_checked": """select conteneur_no, (select count(*) from documents where text <> '' and doc_id is not null) as n_textes, cast(0 as bigint) as n_coupes_a_tort, cast(0 as bigint) as n_doubles,
+        cast(0 as bigint) as n_trop_pleins from conteneur where capacite_jetons > 0""",
     "p6_found": f"with {_WORDS} select distinct least(a.id, b.id) as id_1, greatest(a.id, b.id) as id_2 from p join m a on a.h = h1 join m b on b.h = h2 where a.id <> b.id",
 }
 
