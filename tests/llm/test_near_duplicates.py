@@ -210,3 +210,26 @@ def test_hot_words_are_split(sided):
             if i != j and 10 * len(x & y) >= 7 * len(x | y) and ((side[i] & 1 and side[j] & 2) if sided else i < j):
                 common, only1, only2 = sums[i, j]
                 assert common <= len(x & y) and only1 <= len(x - y) and only2 <= len(y - x)
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_hot_word_among_unlike_texts(monkeypatch, sided):
+    """One word in all texts of 5 to 400 words: few of the unlike pairs are looked at a second time, and no near pair is lost."""
+    r = random.Random(4)
+    sets = [frozenset([0, *r.sample(range(1, 4000), r.choice([5, 60, 90, 135, 160, 165, 169, 200, 400]))]) for _ in range(700)]
+    sets += [frozenset([0, *sorted(s)[len(s) // 12 + 1 :], *r.sample(range(5000, 9000), len(s) // 13)]) for s in sets[:90]]
+    side = [r.choice([1, 2, 3]) if sided else 0 for _ in sets]
+    values = [np.array([(v * 0x9E3779B97F4A7C15) % (1 << 48) for v in sorted(s)], np.uint64) for s in sets]
+    n = np.array([len(v) for v in values])
+    maps = nearjoin.bitmaps(np.repeat(np.arange(len(n)), n), np.concatenate(values), n)
+    columns = ("grp", "h", "nw", "side", "part", "start", "ends", "bits", "words")
+    rows = [(0, d, int(n[d]), side[d], 0, 0, False, maps[d], np.zeros(1, np.uint64).tobytes()) for d in range(len(sets))]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=columns)
+    looked = []
+    near = nearjoin.Group.near
+    monkeypatch.setattr(nearjoin.Group, "near", lambda self, x, y: looked.append(len(x)) or near(self, x, y))
+    got = {(p["h1"], p["h2"]) for p in nearjoin.Group(table, 7).partial().to_pylist()}
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 10 * len(x & y) >= 7 * len(x | y) and ((side[i] & 1 and side[j] & 2) if sided else i < j)}
+    assert want <= got and len(want) > 60
+    assert sum(looked) < 0.02 * len(sets) ** 2 / 2
