@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clinmill.llm import nearjoin
+from clinmill.llm import near_duplicates, nearjoin
 from clinmill.llm.components import connected
 from clinmill.llm.near_duplicates import NearDuplicates
 from clinmill.llm.shingles import words
@@ -233,3 +233,13 @@ def test_hot_word_among_unlike_texts(monkeypatch, sided):
     want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 10 * len(x & y) >= 7 * len(x | y) and ((side[i] & 1 and side[j] & 2) if sided else i < j)}
     assert want <= got and len(want) > 60
     assert sum(looked) < 0.02 * len(sets) ** 2 / 2
+
+
+def test_copies_are_spread_by_their_number(spark, monkeypatch):
+    """Texts told once are not repeated for the salts; all copies of a hot one meet."""
+    monkeypatch.setattr(near_duplicates, "COPIES", 4)
+    rows = [(f"a{k}", k) for k in range(50)] + [(f"b{k}", 100) for k in range(3)] + [(f"c{k}", 200) for k in range(90)]
+    one, two = (spark.createDataFrame(rows, f"i{k} string, h bigint") for k in (1, 2))
+    for least, single in ((1, 50), (2, 0)):
+        got = near_duplicates.copies(one, two, least).select("i1", "i2").collect()
+        assert len(got) == len(set(got)) == single + 3 * 3 + 90 * 90
